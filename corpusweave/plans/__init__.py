@@ -5,6 +5,7 @@ from importlib import import_module
 FAMILIES = (
     "text_plans",
     "corpus_plans",
+    "segment_plans",
 )
 
 
