@@ -22,6 +22,12 @@ from corpusweave.session import materialise
 ROWS_PER_RANGE = 200_000
 
 
+def micros(ts: str | Column) -> Column:
+    """Microseconds since the epoch of a timestamp with or without zone (zone-less ones are UTC)."""
+    column = F.col(ts) if isinstance(ts, str) else ts
+    return F.unix_micros(column.cast("timestamp"))
+
+
 def value_ranks(
     df: DataFrame,
     value: str,

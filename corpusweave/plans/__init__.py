@@ -6,6 +6,7 @@ FAMILIES = (
     "text_plans",
     "corpus_plans",
     "segment_plans",
+    "vector_plans",
 )
 
 

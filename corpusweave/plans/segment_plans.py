@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusweave import rules
 from corpusweave.functions.binding import bind
 from corpusweave.operators import chunk_audit as A, corpus as C, html as H, segment as G
+from corpusweave.operators.ordering import micros
 from corpusweave.plans import sqlkit as S
 from corpusweave.plans.registry import query
 
@@ -149,8 +150,8 @@ def chunk_structured(t):
 )
 def interval_union(t):
     spans = t.events.select(
-        "user_id", F.unix_micros("ts").alias("s"),
-        (F.unix_micros("ts") + F.round(F.col("value") * 60000000).cast("long")).alias("e"),
+        "user_id", micros("ts").alias("s"),
+        (micros("ts") + F.round(F.col("value") * 60000000).cast("long")).alias("e"),
     )
     return A.interval_union(spans, ["user_id"], "s", "e", width=86_400_000_000)
 
