@@ -52,6 +52,8 @@ def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray
     """Larger is nearer; squared distances are negated."""
     if metric == "cosine":
         values = _unit(queries) @ _unit(vectors).T
+    elif metric == "dot":
+        values = queries @ vectors.T
     else:
         values = -(
             (queries * queries).sum(1)[:, None] + (vectors * vectors).sum(1)[None, :] - 2.0 * (queries @ vectors.T)

@@ -7,6 +7,7 @@ FAMILIES = (
     "corpus_plans",
     "segment_plans",
     "vector_plans",
+    "lexical_plans",
 )
 
 
