@@ -53,6 +53,7 @@ def evidence_scores(
     generic_terms: Sequence[str] = (),
     frame_terms: Sequence[str] = (),
     unrequested: Sequence[tuple[str, float]] = (),
+    digits: int = 4,
 ) -> DataFrame:
     """Multi-signal score and rank of each question's pool.
 
@@ -89,6 +90,6 @@ def evidence_scores(
     fallback = w_card * F.col("card_similarity") - F.when(
         F.col("resolved"), rules.NOT_INGESTED_PENALTY
     ).otherwise(rules.UNRESOLVED_PENALTY)
-    final = F.round(F.when(F.col("ingested"), score).otherwise(fallback), 4)
+    final = F.round(F.when(F.col("ingested"), score).otherwise(fallback), digits)
     order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.desc("card_similarity"), F.col("initial_rank"))
     return rows.withColumn("final_score", final).withColumn("rank", F.row_number().over(order))

@@ -8,6 +8,7 @@ FAMILIES = (
     "segment_plans",
     "vector_plans",
     "lexical_plans",
+    "answer_plans",
 )
 
 
