@@ -33,7 +33,7 @@ def one_per_source(rows: DataFrame, query: str, source: str, url: str, k: int) -
     return ranked.filter(F.col("rank") <= k).drop("_n")
 
 
-def page_similarity(pool: DataFrame, query_vectors: DataFrame, docs: DataFrame) -> DataFrame:
+def page_similarity(pool: DataFrame, query_vectors: DataFrame, docs: DataFrame, digits: int = 4) -> DataFrame:
     """Best chunk similarity of every pooled page for the question that pooled it.
 
     Only pooled pages are chunked and embedded; the vectors meet in an equi join on the pool.
@@ -45,7 +45,7 @@ def page_similarity(pool: DataFrame, query_vectors: DataFrame, docs: DataFrame)
     vectors = text_vectors(chunks, "chunk").select("chunk.doc_id", F.col("embedding").alias("chunk_vector"))
     pairs = pool.select("query_id", "doc_id").join(query_vectors, "query_id").join(vectors, "doc_id")
     scored = pairs.select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("chunk_vector")), 6).alias("s"))
-    return scored.groupBy("query_id", "doc_id").agg(F.round(F.max("s"), 4).alias("page_similarity"))
+    return scored.groupBy("query_id", "doc_id").agg(F.round(F.max("s"), digits).alias("page_similarity"))
 
 
 def evidence_scores(
@@ -66,7 +66,7 @@ def evidence_scores(
     regime = F.coalesce("tech_regime", F.lit(False))
     w_card = F.when(regime, rules.W_CARD_TECH).otherwise(rules.W_CARD)
     tech = F.greatest(F.coalesce("phrase_match", F.lit(0.0)), F.coalesce(*([F.col("code_match")] if "code_match" in rows.columns else []), F.lit(0.0)))
-    coverage = F.round(T.coverage(asked, T.terms(F.col("text"))), 4)
+    coverage = F.round(T.coverage(asked, T.terms(F.col("text"))), digits)
     shared = F.size(F.array_intersect(asked, titled))
     both = (F.size(titled) > 0) & (F.size(asked) > 0)
     domain_title = F.array_except(titled, T.array_of(generic_terms) if generic_terms else F.array().cast("array<string>"))

@@ -9,6 +9,8 @@ FAMILIES = (
     "vector_plans",
     "lexical_plans",
     "answer_plans",
+    "question_plans",
+    "identity_plans",
 )
 
 

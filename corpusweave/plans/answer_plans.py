@@ -155,10 +155,10 @@ def _sql_text(pattern):
 
 
 QUALITY = f"""CASE WHEN norm = '' THEN true WHEN label_norm <> '' AND norm = label_norm THEN true
-    WHEN regexp_matches(asc, '(?i){_sql_text(ER.PREDICATE)}') OR regexp_matches(asc, '(?i){_sql_text(ER.IMPERATIVE)}') THEN false
+    WHEN regexp_matches(asx, '(?i){_sql_text(ER.PREDICATE)}') OR regexp_matches(asx, '(?i){_sql_text(ER.IMPERATIVE)}') THEN false
     WHEN NOT ended AND NOT code AND regexp_matches(clean, '{_sql_text(ER.LIST_ITEM)}') THEN true
-    WHEN regexp_matches(clean, '{_sql_text(ER.SEPARATOR)}') THEN true WHEN regexp_matches(asc, '(?i){_sql_text(ER.NAVIGATION_STRICT)}') THEN true
-    WHEN regexp_matches(asc, '(?i){_sql_text(ER.NAVIGATION)}') AND (numbered OR NOT ended) THEN true WHEN regexp_matches(asc, '{_sql_text(ER.OCR_DIGIT)}') THEN true
+    WHEN regexp_matches(clean, '{_sql_text(ER.SEPARATOR)}') THEN true WHEN regexp_matches(asx, '(?i){_sql_text(ER.NAVIGATION_STRICT)}') THEN true
+    WHEN regexp_matches(asx, '(?i){_sql_text(ER.NAVIGATION)}') AND (numbered OR NOT ended) THEN true WHEN regexp_matches(asx, '{_sql_text(ER.OCR_DIGIT)}') THEN true
     WHEN NOT ended AND len(list_distinct(w)) <= 8 AND label_norm <> '' AND len(list_intersect(w, lw)) >= 2 AND len(list_intersect(w, lw)) / len(list_distinct(w))::DOUBLE >= 0.66 THEN true
     WHEN numbered AND NOT ended AND len(w) <= 8 THEN true
     WHEN length(compact) >= 8 AND length(regexp_replace(compact, '[^\\p{{L}}]', '', 'g')) / length(compact)::DOUBLE < 0.55 THEN true ELSE false END"""
@@ -168,7 +168,7 @@ QUALITY = f"""CASE WHEN norm = '' THEN true WHEN label_norm <> '' AND norm = lab
     "sentence_quality",
     f"""WITH src AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS title FROM documents), {unit_sql('src', ['doc_id'], 'doc_id')},
     c AS (SELECT doc_id, title, trim(regexp_replace({S.squeeze('sentence')}, '\\[S\\d+\\]', '', 'g')) AS clean FROM units),
-    e AS (SELECT doc_id, clean, {ascii_sql('clean')} AS asc, {S.novelty_norm('clean')} AS norm, {S.novelty_norm('title')} AS label_norm, regexp_matches(clean, '[.!?]["”’)}}\\]'']*\\s*$') AS ended,
+    e AS (SELECT doc_id, clean, {ascii_sql('clean')} AS asx, {S.novelty_norm('clean')} AS norm, {S.novelty_norm('title')} AS label_norm, regexp_matches(clean, '[.!?]["”’)}}\\]'']*\\s*$') AS ended,
         regexp_matches({ascii_sql('clean')}, '{ER.CODE_TOKEN}') AS code, regexp_matches(regexp_replace({ascii_sql('clean')}, '[ .!?;,:"'')\\]}}]+$', ''), '(?i){ER.TRAILING_NUMBER}') AS numbered,
         regexp_replace(clean, '\\s', '', 'g') AS compact FROM c), f AS (SELECT *, string_split(norm, ' ') AS w, string_split(label_norm, ' ') AS lw FROM e)
     SELECT doc_id, count(*) AS sentences, count(*) FILTER ({QUALITY}) AS low_quality FROM f GROUP BY doc_id""",

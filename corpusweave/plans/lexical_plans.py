@@ -309,19 +309,19 @@ def lexical_rerank(t):
 
 @query(
     "evidence_rerank",
-    f"""{OWNERS}, {HASHED}, pool AS (SELECT * FROM (SELECT query_id, doc_id, round(score, 4) AS card, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM dense) WHERE r <= {rules.TOP_K_CARDS}),
+    f"""{OWNERS}, {HASHED}, pool AS (SELECT * FROM (SELECT query_id, doc_id, score AS card, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM dense) WHERE r <= {rules.TOP_K_CARDS}),
     cc AS (SELECT doc_id, unnest({S.chunk_list('text')}) AS chunk FROM documents WHERE doc_id IN (SELECT doc_id FROM pool)),
     ch AS (SELECT row_number() OVER () AS cid, doc_id, chunk FROM cc),
     cv AS (SELECT cid, doc_id, list_transform(c, lambda x: CASE WHEN z = 0 THEN 0.0::DOUBLE ELSE round(x / sqrt(z::DOUBLE), 6)::FLOAT::DOUBLE END) AS e FROM (SELECT cid, doc_id, c, list_sum(list_transform(c, lambda x: x * x)) AS z FROM (
         SELECT cid, doc_id, list_transform(range({L.HASH_DIMS}), lambda d: len(list_filter(b, lambda y: y = d))) AS c FROM (SELECT cid, doc_id, list_transform({S.tokenize('chunk')}, lambda w: ('0x' || substr(md5(w), 1, 6))::INT % {L.HASH_DIMS}) AS b FROM ch)))),
-    ps AS (SELECT p.query_id, p.doc_id, round(max(round(list_inner_product(q.e, cv.e), 6)), 4) AS page FROM pool p JOIN hv q ON q.k = 'q' AND q.id = p.query_id JOIN cv ON cv.doc_id = p.doc_id GROUP BY ALL),
+    ps AS (SELECT p.query_id, p.doc_id, max(round(list_inner_product(q.e, cv.e), 6)) AS page FROM pool p JOIN hv q ON q.k = 'q' AND q.id = p.query_id JOIN cv ON cv.doc_id = p.doc_id GROUP BY ALL),
     feat AS (SELECT p.query_id, p.doc_id, p.r, card, coalesce(page, 0) AS page, {S.terms('b.text')} AS qt, {S.terms('d.text')} AS dt, {S.terms(TITLE)} AS tt,
         (l.toxic IS NULL OR l.toxic = 0) AS ingested, (o.doc_id IS NOT NULL) AS phrase, EXISTS (SELECT 1 FROM owners o2 WHERE o2.query_id = p.query_id) AS regime
         FROM pool p LEFT JOIN ps USING (query_id, doc_id) JOIN benchmark b ON b.item_id = p.query_id JOIN documents d ON d.doc_id = p.doc_id
         LEFT JOIN labels l ON l.doc_id = p.doc_id LEFT JOIN owners o ON o.query_id = p.query_id AND o.doc_id = p.doc_id),
     s AS (SELECT query_id, doc_id, r, card, round(CASE WHEN NOT ingested THEN (CASE WHEN regime THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END) * card - 0.1::DOUBLE ELSE
         (CASE WHEN regime THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END) * card + 0.4::DOUBLE * page
-        + 0.1::DOUBLE * round(CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(list_distinct(qt), dt)) / len(list_distinct(qt))::DOUBLE END, 4)
+        + 0.1::DOUBLE * round(CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(list_distinct(qt), dt)) / len(list_distinct(qt))::DOUBLE END, 6)
         + (CASE WHEN regime AND phrase THEN 0.12::DOUBLE ELSE 0 END)
         + (CASE WHEN len(tt) > 0 AND len(qt) > 0 THEN 0.10::DOUBLE * len(list_intersect(list_distinct(qt), tt)) / len(list_distinct(tt)) ELSE 0 END)
         + (CASE WHEN len(tt) > 0 AND len(qt) > 0 THEN 0.16::DOUBLE * len(list_intersect(list_distinct(qt), tt)) / len(list_distinct(qt)) ELSE 0 END) END, 6) AS final_score FROM feat)
@@ -337,9 +337,9 @@ def evidence_rerank(t):
         rules.TOP_K_CARDS, metric="dot",
     )
     pool = materialise(
-        hits.select("query_id", F.col("vec_id").alias("doc_id"), F.col("rank").alias("initial_rank"), F.round("score", 4).alias("card_similarity"))
+        hits.select("query_id", F.col("vec_id").alias("doc_id"), F.col("rank").alias("initial_rank"), F.col("score").alias("card_similarity"))
     )
-    page_scores = R.page_similarity(pool, asked_vectors, docs)
+    page_scores = R.page_similarity(pool, asked_vectors, docs, digits=6)
     owners = P.unique_owners(P.query_phrases(asked), docs)
     facts = t.documents.select("doc_id", "text", F.get(F.split("text", "\n"), 0).alias("title")).join(
         t.labels.select("doc_id", "toxic"), "doc_id", "left"
