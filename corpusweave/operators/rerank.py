@@ -54,6 +54,7 @@ def evidence_scores(
     frame_terms: Sequence[str] = (),
     unrequested: Sequence[tuple[str, float]] = (),
     digits: int = 4,
+    coverage_digits: int | None = 4,
 ) -> DataFrame:
     """Multi-signal score and rank of each question's pool.
 
@@ -66,7 +67,9 @@ def evidence_scores(
     regime = F.coalesce("tech_regime", F.lit(False))
     w_card = F.when(regime, rules.W_CARD_TECH).otherwise(rules.W_CARD)
     tech = F.greatest(F.coalesce("phrase_match", F.lit(0.0)), F.coalesce(*([F.col("code_match")] if "code_match" in rows.columns else []), F.lit(0.0)))
-    coverage = F.round(T.coverage(asked, T.terms(F.col("text"))), digits)
+    coverage = T.coverage(asked, T.terms(F.col("text")))
+    if coverage_digits is not None:
+        coverage = F.round(coverage, coverage_digits)
     shared = F.size(F.array_intersect(asked, titled))
     both = (F.size(titled) > 0) & (F.size(asked) > 0)
     domain_title = F.array_except(titled, T.array_of(generic_terms) if generic_terms else F.array().cast("array<string>"))

@@ -11,6 +11,8 @@ FAMILIES = (
     "answer_plans",
     "question_plans",
     "identity_plans",
+    "metric_plans",
+    "stream_plans",
 )
 
 

@@ -321,10 +321,10 @@ def lexical_rerank(t):
         LEFT JOIN labels l ON l.doc_id = p.doc_id LEFT JOIN owners o ON o.query_id = p.query_id AND o.doc_id = p.doc_id),
     s AS (SELECT query_id, doc_id, r, card, round(CASE WHEN NOT ingested THEN (CASE WHEN regime THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END) * card - 0.1::DOUBLE ELSE
         (CASE WHEN regime THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END) * card + 0.4::DOUBLE * page
-        + 0.1::DOUBLE * round(CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(list_distinct(qt), dt)) / len(list_distinct(qt))::DOUBLE END, 6)
+        + 0.1::DOUBLE * (CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(list_distinct(qt), dt)) / len(list_distinct(qt))::DOUBLE END)
         + (CASE WHEN regime AND phrase THEN 0.12::DOUBLE ELSE 0 END)
         + (CASE WHEN len(tt) > 0 AND len(qt) > 0 THEN 0.10::DOUBLE * len(list_intersect(list_distinct(qt), tt)) / len(list_distinct(tt)) ELSE 0 END)
-        + (CASE WHEN len(tt) > 0 AND len(qt) > 0 THEN 0.16::DOUBLE * len(list_intersect(list_distinct(qt), tt)) / len(list_distinct(qt)) ELSE 0 END) END, 6) AS final_score FROM feat)
+        + (CASE WHEN len(tt) > 0 AND len(qt) > 0 THEN 0.16::DOUBLE * len(list_intersect(list_distinct(qt), tt)) / len(list_distinct(qt)) ELSE 0 END) END, 8) AS final_score FROM feat)
     SELECT query_id, doc_id, r AS initial_rank, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, card DESC, r) AS rank FROM s""",
 )
 def evidence_rerank(t):
@@ -353,4 +353,4 @@ def evidence_rerank(t):
     rows = rows.select(
         "*", F.coalesce("toxic", F.lit(0)).alias("_toxic"),
     ).withColumn("ingested", F.col("_toxic") == 0).withColumn("resolved", F.lit(True))
-    return R.evidence_scores(rows, digits=6).select("query_id", "doc_id", "initial_rank", "final_score", "rank")
+    return R.evidence_scores(rows, digits=8, coverage_digits=None).select("query_id", "doc_id", "initial_rank", "final_score", "rank")
