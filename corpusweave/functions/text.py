@@ -6,6 +6,7 @@ that results do not depend on the regex dialect of the engine.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
@@ -46,13 +47,29 @@ def query_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)))
 
 
+def _alternatives(words: Iterable[str]) -> str:
+    """Pattern that matches any of ``words``, factored by first letter so that few branches are tried."""
+    by_letter: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        by_letter.setdefault(word[:1], []).append(word[1:])
+    optional = "" in by_letter
+    branches = [c + (_alternatives(rest) if rest != [""] else "") for c, rest in by_letter.items() if c]
+    body = branches[0] if len(branches) == 1 and not optional else "(?:" + "|".join(branches) + ")"
+    return body + ("?" if optional else "")
+
+
+def _not_one_of(words: Iterable[str], chars: str) -> str:
+    """Look-ahead that refuses a run equal to one of ``words``."""
+    return "(?!" + _alternatives(words) + f"(?![{chars}]))"
+
+
 def tokenize(text: Column, drop_stop_words: bool = True) -> Column:
-    """Lower-cased ``[a-z0-9]+`` runs in order, with repetition."""
-    tokens = extract_all(F.lower(F.coalesce(text, F.lit(""))), "([a-z0-9]+)")
-    if not drop_stop_words:
-        return tokens
-    stop = array_of(sorted(rules.BM25_STOP_WORDS))
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+    """Lower-cased ``[a-z0-9]+`` runs in order, with repetition.
+
+    Stop words are refused inside the pattern, in the same pass over the text.
+    """
+    guard = r"(?<![a-z0-9])" + _not_one_of(rules.BM25_STOP_WORDS, "a-z0-9") if drop_stop_words else ""
+    return extract_all(F.lower(F.coalesce(text, F.lit(""))), f"({guard}[a-z0-9]+)")
 
 
 def stem(word: Column) -> Column:
@@ -65,14 +82,48 @@ def stem(word: Column) -> Column:
     return chain.otherwise(word)
 
 
-def _content_words(text: Column, extra_stop_words: Iterable[str]) -> Column:
-    stop = array_of(sorted(rules.STOP_WORDS | set(extra_stop_words)))
-    found = extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("-"), F.lit(" "))), "([a-z0-9][a-z0-9_]*)")
-    return F.filter(found, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+def content_words(text: Column, extra_stop_words: Iterable[str] = ()) -> Column:
+    """Words of three or more characters that are no stop words, in order."""
+    guard = _not_one_of(rules.STOP_WORDS | set(extra_stop_words), "a-z0-9_")
+    plain = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("-"), F.lit(" ")))
+    return extract_all(plain, rf"(?<![a-z0-9_])_*({guard}[a-z0-9][a-z0-9_]{{2,}})")
+
+
+def _stem_all(words: Column, passes: Iterable[tuple[str, str]]) -> Column:
+    """Stem a whole word list with a few passes over its joined text.
+
+    A longer suffix starts further left, so the leftmost match of a pass is the first suffix of the
+    stemmer's list that leaves a long enough stem.
+    """
+    joined = F.array_join(words, " ")
+    for pattern, replacement in passes:
+        joined = F.regexp_replace(joined, pattern + r"(?= |$)", replacement)
+    return F.array_remove(F.split(joined, " "), "")
+
+
+_STEM_PASSES = ((r"(?<=[a-z0-9_]{3})i(?:es|ed)", "y"), (r"(?<=[a-z0-9_]{3})(?:ations?|ings?|es|ed|s)", ""))
+_STEM2_PASSES = (
+    (r"(?<=[a-z0-9_]{3})ations?", "at"),
+    (r"(?<=[a-z0-9_]{3})i(?:es|ed)", "y"),
+    (r"(?:(?<=[a-z0-9_]{4})ments?|(?<=[a-z0-9_]{3})(?:ings?|es|ed|(?<!s)s))", ""),
+    (r"(?<=[a-z0-9_]{4})e", ""),
+    (r"(?<=[a-z0-9_]{3})izat", "iz"),
+    (r"(?<=[a-z0-9_]{3})urat", "ur"),
+)
+
+
+def stem_words(words: Iterable[str], second: bool = False) -> list[str]:
+    """Stems of a fixed word list, computed once on the driver with the same passes."""
+    out = []
+    for word in sorted(set(words)):
+        for pattern, replacement in _STEM2_PASSES if second else _STEM_PASSES:
+            word = re.sub(pattern + r"(?= |$)", replacement, word)
+        out.append(word)
+    return sorted(set(out))
 
 
 def terms(text: Column, extra_stop_words: Iterable[str] = ()) -> Column:
-    return F.transform(_content_words(text, extra_stop_words), stem)
+    return _stem_all(content_words(text, extra_stop_words), _STEM_PASSES)
 
 
 def term_set(text: Column, extra_stop_words: Iterable[str] = ()) -> Column:
@@ -95,7 +146,7 @@ def stem2(word: Column) -> Column:
 
 
 def terms2(text: Column, extra_stop_words: Iterable[str] = ()) -> Column:
-    return F.transform(_content_words(text, extra_stop_words), stem2)
+    return _stem_all(content_words(text, extra_stop_words), _STEM2_PASSES)
 
 
 def coverage(wanted: Column, present: Column) -> Column:

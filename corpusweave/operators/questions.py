@@ -79,7 +79,7 @@ def question_class(text: Column) -> Column:
 
 # ---------------------------------------------------------------- needs
 def _frame_stems() -> Column:
-    return F.transform(T.array_of(sorted(rules.FRAME_WORDS)), stem2)
+    return T.array_of(T.stem_words(rules.FRAME_WORDS, second=True))
 
 
 def kinds(text: Column) -> Column:
@@ -90,7 +90,7 @@ def kinds(text: Column) -> Column:
 def focus_terms(text: Column) -> Column:
     """Distinct content stems without question-frame words; cue words step aside when a cue was found."""
     plain = F.array_except(F.array_distinct(T.terms2(text)), _frame_stems())
-    cue = F.transform(T.array_of(Q.CUE_WORDS), stem2)
+    cue = T.array_of(T.stem_words(Q.CUE_WORDS, second=True))
     cue_kind = F.arrays_overlap(kinds(text), F.array(F.lit("limit"), F.lit("default")))
     reduced = F.array_except(plain, cue)
     return F.when(cue_kind & (F.size(reduced) > 0), reduced).otherwise(plain)
@@ -110,7 +110,7 @@ def asked_terms(text: Column) -> Column:
         )
         return F.when(asks & (F.size(window) > 0), stem2(F.get(window, 0)))
 
-    cue = F.transform(T.array_of(Q.CUE_WORDS), stem2)
+    cue = T.array_of(T.stem_words(Q.CUE_WORDS, second=True))
     return F.array_except(F.array_distinct(F.array_compact(F.transform(tokens, following))), cue)
 
 
@@ -210,7 +210,7 @@ def resolve_followups(turns: DataFrame, width: int = 512) -> DataFrame:
         classified, ["conv_id"], F.col("turn"), width, F.when(standalone, T.squeeze(F.col("text"))), "anchor"
     )
     own = F.array_except(
-        F.array_except(T.term_set(F.col("text")), T.term_set(F.col("anchor"))), F.transform(T.array_of(Q.FOLLOWUP_VOCABULARY), T.stem)
+        F.array_except(T.term_set(F.col("text")), T.term_set(F.col("anchor"))), T.array_of(T.stem_words(Q.FOLLOWUP_VOCABULARY))
     )
     clauses = F.create_map(*[x for k, v in Q.CLAUSES.items() for x in (F.lit(k), F.lit(v))])
     followed = F.col("category").isNotNull() & F.col("anchor").isNotNull()

@@ -9,6 +9,7 @@ from corpusweave.functions import text as T
 from corpusweave.operators import corpus as C
 from corpusweave.plans import sqlkit as S
 from corpusweave.plans.registry import query
+from corpusweave.session import materialise
 
 CLEAN = S.clean_cte("documents")
 
@@ -50,15 +51,17 @@ marked AS (SELECT h.*, CASE WHEN clean_text = '' THEN h.doc_id ELSE b.canonical_
 
 
 def marked_documents(t):
-    """Cleaned documents with content hash, role from the quality label, canonical id and status."""
+    """Content hash, role from the quality label, canonical id and status of every document.
+
+    Texts are cleaned and hashed once; what is shuffled and written is a narrow row per document.
+    """
     cleaned = C.clean_documents(t.documents.select("doc_id", "lang", "source", "text"))
-    roles = t.labels.select("doc_id", "quality")
-    docs = (
-        cleaned.select("doc_id", "lang", "source", "text", "clean_text", C.content_hash(F.col("clean_text")).alias("content_hash"))
-        .join(roles, "doc_id", "left")
-        .withColumn("role_rank", F.when(F.col("quality") == 1, 0).otherwise(1))
+    narrow = cleaned.select(
+        "doc_id", "lang", "source", F.length("clean_text").alias("clean_chars"), C.content_hash(F.col("clean_text")).alias("content_hash")
     )
-    return C.mark_duplicates(docs, "doc_id", "content_hash", F.col("clean_text") == "", [F.col("role_rank")])
+    roles = t.labels.select("doc_id", F.when(F.col("quality") == 1, 0).otherwise(1).alias("role_rank"))
+    docs = materialise(narrow.join(roles, "doc_id", "left").withColumn("role_rank", F.coalesce("role_rank", F.lit(1))))
+    return C.mark_duplicates(docs, "doc_id", "content_hash", F.col("clean_chars") == 0, [F.col("role_rank")])
 
 
 @query("dedup_canonical", f"{HASHED} SELECT doc_id, content_hash, canonical_id, duplicate_of, status FROM marked")
@@ -107,7 +110,7 @@ def corpus_totals(t):
         F.count_if(F.col("status") == "OK").alias("canonical_ok"),
         F.count_if(F.col("status") == "DUPLICATE_CONTENT").alias("duplicate_content"),
         F.count_if(F.col("status") == "EMPTY_CONTENT").alias("empty"),
-        F.sum(F.length("clean_text")).alias("cleaned_chars"),
+        F.sum("clean_chars").alias("cleaned_chars"),
         F.countDistinct("source").alias("topics"),
     )
 

@@ -93,7 +93,7 @@ def first_ranks(t):
     """Best rank of a page that contains the question's passage, per system; NULL when it is not in the top ten."""
     gold = P.verbatim_pages(questions(t), pages(t))
     hits = hybrid(t).join(gold, ["query_id", "doc_id"]).groupBy("weight", "query_id").agg(F.min("rank").alias("rank"))
-    systems = t.spark.createDataFrame([(w,) for w in WEIGHTS], "weight double")
+    systems = t.spark.range(1).select(F.explode(F.array(*[F.lit(float(w)) for w in WEIGHTS])).alias("weight"))
     every = gold.select("query_id").distinct().crossJoin(F.broadcast(systems))  # five fixed rows
     return every.join(hits, ["weight", "query_id"], "left")
 

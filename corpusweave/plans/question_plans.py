@@ -32,7 +32,7 @@ def _fill(templates, index: Column) -> Column:
 
 def derived(t):
     said = t.conversations.filter("role = 'user'").select("conv_id", "turn", "text")
-    words = bind(said, w=T._content_words(F.col("text"), ()))
+    words = bind(said, w=T.content_words(F.col("text")))
     named = words.select(
         "conv_id", "turn", "text", F.coalesce(F.get("w", 0), F.lit("alpha")).alias("a"), F.coalesce(F.get("w", 1), F.lit("beta")).alias("b")
     )

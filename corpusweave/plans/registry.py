@@ -20,7 +20,17 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that sits in fewer files than there are cores one partition per core.
+
+    A single small file is one scan task, and text work would then run on one core. Tables with
+    enough files are left as they are; filters and column pruning still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _run(plan, spark: SparkSession, folder: str) -> DataFrame:

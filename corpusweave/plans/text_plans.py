@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusweave.functions import text as T
+from corpusweave.functions.binding import bind
 from corpusweave.plans import sqlkit as S
 from corpusweave.plans.registry import query
 
@@ -29,10 +30,9 @@ def text_normalize(t):
         FROM documents""",
 )
 def text_terms(t):
-    return t.documents.select(
-        "doc_id", F.size(T.tokenize(F.col("text"))).alias("tokens"), T.terms(F.col("text")).alias("x")
-    ).select(
-        "doc_id", "tokens", F.size("x").alias("n_terms"), F.size(F.array_distinct("x")).alias("distinct_terms"),
+    docs = t.documents.select("doc_id", "text")
+    return bind(docs, x=T.terms(F.col("text"))).select(
+        "doc_id", F.size(T.tokenize(F.col("text"))).alias("tokens"), F.size("x").alias("n_terms"), F.size(F.array_distinct("x")).alias("distinct_terms"),
         F.md5(F.array_join("x", " ")).alias("terms_md5"),
     )
 
@@ -43,7 +43,7 @@ def text_terms(t):
         FROM (SELECT doc_id, {S.terms2('text')} AS x FROM documents)""",
 )
 def text_terms2(t):
-    return t.documents.select("doc_id", T.terms2(F.col("text")).alias("x")).select(
+    return bind(t.documents.select("doc_id", "text"), x=T.terms2(F.col("text"))).select(
         "doc_id", F.size("x").alias("n_terms"), F.size(F.array_distinct("x")).alias("distinct_terms"),
         F.md5(F.array_join("x", " ")).alias("terms_md5"),
     )
@@ -55,7 +55,7 @@ def text_terms2(t):
         FROM (SELECT doc_id, {S.code_tokens('text')} AS x FROM documents)""",
 )
 def code_tokens(t):
-    return t.documents.select("doc_id", T.code_tokens(F.col("text")).alias("x")).select(
+    return bind(t.documents.select("doc_id", "text"), x=T.code_tokens(F.col("text"))).select(
         "doc_id", F.size("x").alias("n_codes"), F.array_join(F.array_sort("x"), ",").alias("codes")
     )
 
@@ -66,7 +66,7 @@ def code_tokens(t):
         FROM (SELECT doc_id, {S.split_sentences('text')} AS x FROM documents)""",
 )
 def sentence_split(t):
-    return t.documents.select("doc_id", T.split_sentences(F.col("text")).alias("x")).select(
+    return bind(t.documents.select("doc_id", "text"), x=T.split_sentences(F.col("text"))).select(
         "doc_id", F.size("x").alias("sentences"), F.md5(F.array_join("x", "|")).alias("sentence_md5")
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,13 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there.
+    """Write ``df`` as a table below the checkpoint folder and continue from that table.
 
-    Used where a plan would otherwise be evaluated twice with results that must agree; the written
-    copy survives the loss of executors.
+    Used where a plan would otherwise be evaluated twice, or twice with results that must agree. The
+    written copy survives the loss of executors, is read back by column, and its size is known to the
+    planner, so joins with it are planned from facts.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
