@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusweave import rules
 from corpusweave.operators.ordering import carry_forward, micros, percentiles, running_total, value_ranks
+from corpusweave.session import materialise
 
 SECOND = 1_000_000
 
@@ -76,31 +77,26 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int = rules.RATE_LIM
     """Exact accept/reject of a sliding-window limit in which rejected requests are not recorded.
 
     An instant whose offered count stays within the limit is accepted whatever came before. Only
-    storms need the sequential rule: maximal stretches around over-limit instants, each starting with
-    a full window of accepted requests, so that storms are independent of each other. A storm is
-    streamed in time order with at most ``limit`` remembered instants; everything else never leaves
-    the JVM.
+    over-limit instants need the sequential rule, and they only look back one window: chains of them
+    with smaller gaps than the window (storms) are independent of each other. A storm is streamed in
+    time order together with the accepted instants it can see, remembering at most ``limit`` instants;
+    everything else never leaves the JVM.
     """
-    width = seconds * SECOND
-    offered = offered_in_window(events, key, ts, seconds).withColumn("over", F.col("offered") > limit)
-    # Time of the last over-limit instant at or before each row, carried across hourly segments.
-    marked = carry_forward(offered, [key], F.col("us"), 3600 * SECOND, F.when(F.col("over"), F.col("us")), "last_over", inclusive=True)
-    tense = F.col("last_over").isNotNull() & (F.col("us") - F.col("last_over") < 2 * width)
-    tagged = marked.withColumn("tense", tense)
-    calm = tagged.filter("not tense").select(F.col(key), "us", "n", F.col("n").alias("accepted"))
-    stormy = tagged.filter("tense")
-    gaps = carry_forward(stormy, [key], F.col("us"), 3600 * SECOND, F.col("us"), "before")
+    width, segment = seconds * SECOND, 3600 * SECOND
+    offered = materialise(offered_in_window(events, key, ts, seconds).withColumn("over", F.col("offered") > limit))
+    over = offered.filter("over").select(key, "us")
+    gaps = carry_forward(over, [key], F.col("us"), segment, F.col("us"), "before")
     starts = (F.col("before").isNull() | (F.col("us") - F.col("before") >= width)).cast("long")
-    storms = running_total(gaps.withColumn("_start", starts), [key], F.col("us"), 3600 * SECOND, F.col("_start"), "storm")
-    # Warm-up: the accepted instants of the window before the storm's first instant.
-    first = storms.groupBy(key, "storm").agg(F.min("us").alias("first"))
-    windows = first.select(key, "storm", "first", F.explode(F.array(F.floor(F.col("first") / width), F.floor(F.col("first") / width) - 1)).alias("slot"))
-    warm = calm.withColumn("slot", F.floor(F.col("us") / width)).join(windows, [key, "slot"]).filter(
-        (F.col("us") < F.col("first")) & (F.col("first") - F.col("us") < width)
-    )
-    feed = storms.select(key, "storm", "us", "n", F.lit(1).alias("live")).unionByName(
-        warm.select(key, "storm", "us", "n", F.lit(0).alias("live"))
+    storms = running_total(gaps.withColumn("_start", starts), [key], F.col("us"), segment, F.col("_start"), "storm")
+    tagged = offered.join(storms.select(key, "us", "storm"), [key, "us"], "left")
+    # The next over-limit instant of every row, found by carrying against the direction of time.
+    ahead = carry_forward(
+        tagged, [key], -F.col("us"), segment, F.when(F.col("over"), F.struct("us", "storm")), "ahead", inclusive=True
     )
+    seen = F.col("ahead").isNotNull() & (F.col("ahead.us") - F.col("us") < width)
+    feed = ahead.filter(seen).select(key, F.col("ahead.storm").alias("storm"), "us", "n", F.col("over").cast("int").alias("live"))
+    calm = offered.filter("not over").select(F.col(key), "us", "n", F.col("n").alias("accepted"))
+    stormy = offered.filter("over")
     ordered = feed.select(F.col(key).cast("long").alias("key"), "storm", "us", F.col("n").cast("long"), "live").repartition("key", "storm").sortWithinPartitions("key", "storm", "us")
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
