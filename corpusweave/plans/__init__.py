@@ -11,6 +11,7 @@ FAMILIES = (
     "answer_plans",
     "question_plans",
     "identity_plans",
+    "concept_plans",
     "metric_plans",
     "stream_plans",
 )
