@@ -31,13 +31,20 @@ def get_session(app: str = "corpusweave", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session whose executors are threads of this process may do without the setting; elsewhere a
+    local folder would be written by each executor for itself, and later reads would miss rows.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return configured.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="corpusweave-")
     spark.sparkContext.setCheckpointDir(local)
     return local
