@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -70,7 +72,9 @@ class LineRuns:
 
     def merged(self) -> DataFrame:
         """One row per line over all runs."""
-        return self._sum(self.runs())
+        rows = [run.select("line", "docs", "last") for run in self.runs()]
+        rows = reduce(DataFrame.unionByName, rows).repartition(self.buckets, "line")  # rows of a union are not where buckets were
+        return rows.groupBy("line").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
 
     def close(self) -> None:
         """Drop all runs."""
@@ -94,16 +98,17 @@ class LineRuns:
         stored = self.spark.table(name)
         if len(self.levels[level]) >= FANOUT:
             old, self.levels[level] = self.levels[level], []
-            self._store(self._sum([self.spark.table(n) for n, _ in old]).withColumn("fresh", F.lit(True)), level + 1)
+            merged = reduce(self._sum, [self.spark.table(n) for n, _ in old])
+            self._store(merged.withColumn("fresh", F.lit(True)), level + 1)
             self.superseded += old
         return stored
 
     @staticmethod
-    def _sum(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0].select("line", "docs", "last")
-        for run in runs[1:]:
-            rows = rows.unionByName(run.select("line", "docs", "last"))
-        return rows.groupBy("line").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+    def _sum(first: DataFrame, second: DataFrame) -> DataFrame:
+        """Two runs merged on their buckets, without a shuffle."""
+        other = second.select("line", F.col("docs").alias("more"), F.col("last").alias("later"))
+        docs = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+        return first.join(other, "line", "full").select("line", docs.alias("docs"), F.greatest("last", "later").alias("last"))
 
 
 def without_repeated_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
