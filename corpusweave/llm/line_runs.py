@@ -72,9 +72,7 @@ class LineRuns:
 
     def merged(self) -> DataFrame:
         """One row per line over all runs."""
-        rows = [run.select("line", "docs", "last") for run in self.runs()]
-        rows = reduce(DataFrame.unionByName, rows).repartition(self.buckets, "line")  # rows of a union are not where buckets were
-        return rows.groupBy("line").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+        return reduce(self._sum, [run.select("line", "docs", "last") for run in self.runs()])
 
     def close(self) -> None:
         """Drop all runs."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,11 @@ from corpusweave.llm.common import Scratch, map_rows, table, words_of
 #: Words whose exact counts every worker holds, and their longest; all other words meet their counts in a join.
 FREQUENT, LONGEST = 1 << 18, 64
 #: The filter's parts, the bytes of a part, bits for an entry and probes. PARTS * PART_BYTES bounds what is broadcast.
-PARTS, PART_BYTES, BITS, PROBES = 4096, 16 << 10, 8, 4
+PARTS, PART_BYTES, BITS, PROBES = 4096, 8 << 10, 8, 4
 #: Events counted together before they leave a task, words scored together.
-EVENTS, CHUNK = 1 << 22, 1 << 18
-END = b""
+EVENTS, CHUNK = 1 << 22, 1 << 17
+#: The end of a text counts as an empty word; the word before the first is one that no text has.
+END, BEGIN = b"", b" "
 BEGIN_HASH, END_HASH = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 PAIR, TOTAL, KINDS = np.uint64(0xA4093822299F31D0), np.uint64(0x082EFA98EC4E6C89), np.uint64(0x452821E638D01377)
 
@@ -53,11 +55,16 @@ def count_of(levels: np.ndarray) -> np.ndarray:
 
 
 def halves(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers that the places of an entry are made of: the i-th is ``one + i * two`` modulo the part's size."""
+    """Two numbers that the places of an entry are made of (``place``)."""
     x = mixed(keys + (np.atleast_1d(level).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
     return x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
 
 
+def place(one: np.ndarray, two: np.ndarray, i: int, size: np.ndarray | np.uint64) -> np.ndarray:
+    """The i-th bit of an entry in a part of ``size`` bits: 32 mixed bits scaled to the size."""
+    return (((one + np.uint64(i) * two) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
+
+
 def build_part(keys: np.ndarray, levels: np.ndarray) -> tuple[int, bytes]:
     """(lowest level, bits) of a part: an n-gram of level q is entered once for each level up to q.
 
@@ -73,36 +80,36 @@ def build_part(keys: np.ndarray, levels: np.ndarray) -> tuple[int, bytes]:
     for level in range(lowest, len(reach)):
         one, two = halves(keys[levels >= level], level)
         for i in range(PROBES):
-            bits[((one + np.uint64(i) * two) % np.uint64(size)).astype(np.int64)] = True
+            bits[place(one, two, i, np.uint64(size)).view(np.int64)] = True
     return lowest, np.packbits(bits, bitorder="little").tobytes()
 
 
 class CountFilter:
     """The parts put together; ``counts`` asks for quantised counts by repeated membership probes."""
 
-    def __init__(self, parts: list[tuple[int, int, bytes]]):
+    def __init__(self, parts: Iterable[tuple[int, int, bytes]]):
         self.lowest, self.size = np.ones(PARTS, np.int64), np.full(PARTS, 64, np.uint64)
-        self.begin, found = np.zeros(PARTS, np.uint64), [b"\0" * 8]
+        self.begin, found = np.zeros(PARTS, np.uint64), bytearray(8)
         total = 64
         for part, lowest, bits in parts:
             self.lowest[part], self.size[part], self.begin[part] = lowest, 8 * len(bits), total
-            found.append(bits)
+            found += bits
             total += 8 * len(bits)
-        self.bits = np.frombuffer(b"".join(found), np.uint8)
+        self.bits = np.frombuffer(found, np.uint8)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        part = (keys >> np.uint64(52)).astype(np.int64)
-        level, found, todo = self.lowest[part], np.zeros(len(keys), np.int64), np.arange(len(keys))
-        while len(todo):
-            one, two = halves(keys[todo], level[todo])
-            size, begin = self.size[part[todo]], self.begin[part[todo]]
-            there = np.arange(len(todo))
+        part = (keys >> np.uint64(52)).view(np.int64)
+        level, size, begin = self.lowest[part], self.size[part], self.begin[part]
+        found, at = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        while len(at):
+            one, two = halves(keys, level)
+            there = np.arange(len(keys))
             for i in range(PROBES):  # most n-grams that were not entered end at the first probe
-                at = (one[there] + np.uint64(i) * two[there]) % size[there] + begin[there]
-                there = there[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            todo = todo[there]
-            found[todo] = level[todo]
-            level[todo] += 1
+                bit = place(one[there], two[there], i, size[there]) + begin[there]
+                there = there[(self.bits[(bit >> np.uint64(3)).view(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            at, keys, level, size, begin = at[there], keys[there], level[there], size[there], begin[there]
+            found[at] = level
+            level = level + 1
         return count_of(found)
 
 
@@ -239,7 +246,7 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[CountFilter, CountFilter]:
     single = scratch.write(_parts(keyed, False), "contexts")
     # PARTS rows of at most PART_BYTES each, whatever the corpus holds
     filters = tuple(
-        CountFilter([(r.part, r.lowest, bytes(r.bits)) for r in t.where("bits is not null").select("part", "lowest", "bits").collect()])
+        CountFilter(tuple(r) for r in t.where("bits is not null").select("part", "lowest", "bits").toLocalIterator())
         for t in (found, single)
     )
     scratch.drop(found, single)
@@ -280,60 +287,65 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     model = spark.sparkContext.broadcast(train(learn, scratch))
     limit = float(np.log10(room))
 
-    def stretch_scores(stretches: list[tuple[bytes | None, list[bytes], bool]]) -> np.ndarray:
-        """log10 probability of each (word before, words, whether the text ends there)."""
-        pair, single = model.value
-        rows = []
-        for first, words, ends_here in stretches:
-            rows.append(hashes_of([first]) if first is not None else np.array([BEGIN_HASH]))
-            rows.append(hashes_of(words))
-            rows.append(np.array([END_HASH] if ends_here else [], np.uint64))
-        lengths = np.array([len(w) + e for _, w, e in stretches])
-        tokens = np.concatenate(rows)
-        heads = np.cumsum(lengths + 1) - lengths - 1
-        seen, at = np.unique(tokens, return_inverse=True)
-        often, kinds = single.counts(mixed(seen ^ TOTAL)), single.counts(mixed(seen ^ KINDS))
-        often[(seen == END_HASH) | (seen == BEGIN_HASH)] = ends
-        is_head = np.zeros(len(tokens), bool)
-        is_head[heads] = True
-        new = np.flatnonzero(~is_head)
-        before, after, old, new = tokens[new - 1], tokens[new], at[new - 1], at[new]
-        plain = (often[new] + 0.1) / room
-        both = np.minimum(pair.counts(pairs_of(before, after)), often[old])
-        share = np.where((often[old] > 0) & (kinds[old] > 0), (both + kinds[old] * plain) / np.maximum(often[old] + kinds[old], 1e-9), plain)
-        return np.add.reduceat(np.log10(np.minimum(share, 1.0)), np.cumsum(lengths) - lengths)
-
     def make(batch: pa.RecordBatch) -> dict:
-        table, logs = known.value, {}
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "logs", "rare")}
-        score, waiting, owners, held = np.zeros(batch.num_rows), [], [], 0
+        out = {"n_tokens": np.zeros(batch.num_rows, np.int64), "n_known": np.zeros(batch.num_rows, np.int64)}
+        out |= {"logs": np.zeros(batch.num_rows), "rare": [[] for _ in range(batch.num_rows)], "score": np.zeros(batch.num_rows)}
+        stretches, held = [], 0
         for row, text in enumerate(batch.column(2)):
             words = words_of(text.as_py())
-            tally = Counter(words)
-            tally[END] += 1
-            n_known, log_sum, rare = 0, 0.0, []
-            for word, n in tally.items():
-                c = table.get(word)
-                if c is None:
-                    rare.append({"word": word, "n": n})
-                else:
-                    n_known += n
-                    log = logs.get(c)
-                    if log is None:
-                        log = logs[c] = float(np.log10(c + 0.1))
-                    log_sum += n * log
-            for column, value in zip(out.values(), (len(words) + 1, n_known, log_sum, rare)):
-                column.append(value)
-            for k in range(0, len(words) + 1, CHUNK):
-                waiting.append((words[k - 1] if k else None, words[k : k + CHUNK], k + CHUNK > len(words)))
-                owners.append(row)
-                held += len(waiting[-1][1]) + 1
+            words.append(END)
+            out["n_tokens"][row] = len(words)
+            for k in range(0, len(words), CHUNK):
+                stretches.append((row, words[k - 1] if k else BEGIN, words[k : k + CHUNK] if len(words) > CHUNK else words))
+                held += len(stretches[-1][2])
                 if held > CHUNK:
-                    np.add.at(score, owners, stretch_scores(waiting))
-                    waiting, owners, held = [], [], 0
-        if waiting:
-            np.add.at(score, owners, stretch_scores(waiting))
-        return {"row_id": batch.column(0), "doc_id": batch.column(1)} | out | {"score": pa.array(score)}
+                    judge(stretches, out)
+                    stretches, held = [], 0
+        if stretches:
+            judge(stretches, out)
+        return {"row_id": batch.column(0), "doc_id": batch.column(1)} | out
+
+    def judge(stretches: list[tuple[int, bytes, list[bytes]]], out: dict) -> None:
+        """Add what (row, word before, words) stretches give; every different word is looked up once."""
+        pair, single = model.value
+        exact, number, ids = known.value, {}, []
+        for _, before, words in stretches:
+            ids.append(number.setdefault(before, len(number)))
+            ids += [number.setdefault(w, len(number)) for w in words]
+        ids, kinds_of_words = np.array(ids, np.int64), list(number)
+        length = np.array([len(words) for *_, words in stretches])
+        head = np.cumsum(length + 1) - length - 1
+        place = np.ones(len(ids), bool)
+        place[head] = False
+        at = np.flatnonzero(place)
+        old, new = ids[at - 1], ids[at]
+        row, start = np.array([r for r, *_ in stretches]), np.cumsum(length) - length
+
+        count = np.fromiter((exact.get(w, -1) for w in kinds_of_words), np.int64, len(kinds_of_words))
+        there = count >= 0
+        log = np.where(there, np.log10(np.maximum(count, 0) + 0.1), 0.0)
+        np.add.at(out["logs"], row, np.add.reduceat(log[new], start))
+        np.add.at(out["n_known"], row, np.add.reduceat(there[new].astype(np.int64), start))
+        seldom = np.flatnonzero(~there[new])
+        owner = np.repeat(row, length)[seldom]
+        found, n = np.unique(owner * len(kinds_of_words) + new[seldom], return_counts=True)
+        for key, times in zip(found.tolist(), n.tolist()):
+            out["rare"][key // len(kinds_of_words)].append({"word": kinds_of_words[key % len(kinds_of_words)], "n": times})
+
+        hashed = hashes_of(kinds_of_words)
+        ends_at, begins_at = number.get(END), number.get(BEGIN)
+        for edge, value in ((ends_at, END_HASH), (begins_at, BEGIN_HASH)):
+            if edge is not None:
+                hashed[edge] = value
+        often, kinds = single.counts(mixed(hashed ^ TOTAL)), single.counts(mixed(hashed ^ KINDS))
+        for edge in (ends_at, begins_at):
+            if edge is not None:
+                often[edge] = ends
+        plain, total_before, kinds_before = (often[new] + 0.1) / room, often[old], kinds[old]
+        both = np.minimum(pair.counts(pairs_of(hashed[old], hashed[new])), total_before)
+        mixed_share = (both + kinds_before * plain) / np.maximum(total_before + kinds_before, 1e-9)
+        share = np.where((total_before > 0) & (kinds_before > 0), mixed_share, plain)
+        np.add.at(out["score"], row, np.add.reduceat(np.log10(np.minimum(share, 1.0)), start))
 
     schema = "row_id long, doc_id long, n_tokens long, n_known long, logs double, rare array<struct<word: binary, n: int>>, score double"
     scored = map_rows(rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), make, schema)
