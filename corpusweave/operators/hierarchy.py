@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusweave.session import materialise
 
 
-def toc_nodes(responses: DataFrame, guide: str, toc: str, levels: int = 12) -> DataFrame:
+def toc_nodes(responses: DataFrame, guide: str, toc: str) -> DataFrame:
     """Flatten nested table-of-contents arrays (``t`` title, ``u`` file, ``c`` children) level by level.
 
     A heading without a file adds to the path and depth of what is below it but is not a node.
@@ -20,7 +20,7 @@ def toc_nodes(responses: DataFrame, guide: str, toc: str, levels: int = 12) -> D
         F.array().cast("array<int>").alias("order"), F.lit(0).alias("depth"), F.posexplode(toc).alias("pos", "node"),
     )
     found = []
-    for _ in range(levels):
+    while True:  # as deep as the column's type goes
         title = F.coalesce("node.t", F.lit(""))
         here = frontier.select(
             guide, "parent", F.concat("path", F.array(title)).alias("path"), F.concat("order", F.array("pos")).alias("order"),

@@ -57,17 +57,19 @@ def identity_ladder(cards: DataFrame, toc: DataFrame, verified: DataFrame, corre
     """Decide which page a card stands for.
 
     Order: an accepted correction, then a verified guide whose contents list the page, then a
-    conflict when the page was only seen under another guide, then the card's word alone.
+    conflict when the page was only seen under another guide, then the card's word alone. A page seen
+    under several guides is still one row for each card.
     """
+    seen = seen_elsewhere.groupBy("page_id").agg(F.min("other_guide").alias("first_guide"), F.max("other_guide").alias("last_guide"))
     rows = (
         cards.join(verified.select("guide_id", F.lit(True).alias("verified")), "guide_id", "left")
         .join(toc.select("guide_id", "page_id", F.lit(True).alias("in_toc")), ["guide_id", "page_id"], "left")
         .join(corrections.select("source_id", "resolved_guide_id"), "source_id", "left")
-        .join(seen_elsewhere.select("page_id", "other_guide"), "page_id", "left")
+        .join(seen, "page_id", "left")
     )
     target = toc.select(F.col("guide_id").alias("resolved_guide_id"), "page_id", F.lit(True).alias("target_in_toc"))
     rows = rows.join(target, ["resolved_guide_id", "page_id"], "left")
-    foreign = F.col("other_guide").isNotNull() & (F.col("other_guide") != F.col("guide_id"))
+    foreign = F.coalesce((F.col("first_guide") != F.col("guide_id")) | (F.col("last_guide") != F.col("guide_id")), F.lit(False))
     verified_guide, in_toc = F.coalesce("verified", F.lit(False)), F.coalesce("in_toc", F.lit(False))
     status = (
         F.when(F.col("guide_id").isNull() | F.col("page_id").isNull(), "unresolved")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -70,7 +69,6 @@ def offered_in_window(events: DataFrame, key: str, ts: str, seconds: int = rules
     return counted.filter(F.col("slot") == F.floor(F.col("us") / width)).drop("slot")
 
 
-ADMITTED = StructType([StructField("key", LongType()), StructField("us", LongType()), StructField("accepted", LongType())])
 
 
 def rate_limit(events: DataFrame, key: str, ts: str, limit: int = rules.RATE_LIMIT, seconds: int = rules.RATE_WINDOW_SECONDS) -> DataFrame:
@@ -97,14 +95,16 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int = rules.RATE_LIM
     feed = ahead.filter(seen).select(key, F.col("ahead.storm").alias("storm"), "us", "n", F.col("over").cast("int").alias("live"))
     calm = offered.filter("not over").select(F.col(key), "us", "n", F.col("n").alias("accepted"))
     stormy = offered.filter("over")
-    ordered = feed.select(F.col(key).cast("long").alias("key"), "storm", "us", F.col("n").cast("long"), "live").repartition("key", "storm").sortWithinPartitions("key", "storm", "us")
+    kind = offered.schema[key].dataType  # client addresses as well as numbers
+    admitted = StructType([StructField("key", kind), StructField("us", LongType()), StructField("accepted", LongType())])
+    ordered = feed.select(F.col(key).alias("key"), "storm", "us", F.col("n").cast("long"), "live").repartition("key", "storm").sortWithinPartitions("key", "storm", "us")
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, recent = None, deque()
         for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in ("key", "storm", "us", "n", "live")]
+            rows = [batch.column(c).to_pylist() for c in ("key", "storm", "us", "n", "live")]
             out = []
-            for k, storm, us, n, live in zip(*(r.tolist() for r in rows)):
+            for k, storm, us, n, live in zip(*rows):
                 if (k, storm) != current:
                     current, recent = (k, storm), deque()
                 while recent and recent[0] <= us - width:
@@ -113,10 +113,11 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int = rules.RATE_LIM
                 recent.extend([us] * min(taken, limit))
                 if live:
                     out.append((k, us, taken))
-            cols = np.array(out, dtype=np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[:, i]) for i in range(3)], names=ADMITTED.names)
+            types = (batch.schema.field("key").type, pa.int64(), pa.int64())
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=admitted.names)
 
-    replayed = ordered.mapInArrow(replay, ADMITTED).join(stormy.select(F.col(key).alias("key"), "us", "n"), ["key", "us"])
+    replayed = ordered.mapInArrow(replay, admitted).join(stormy.select(F.col(key).alias("key"), "us", "n"), ["key", "us"])
     return calm.select(F.col(key).alias("key"), "us", "n", "accepted").unionByName(
         replayed.select("key", "us", "n", "accepted")
     ).select(F.col("key").alias(key), "us", F.col("n").alias("requests"), "accepted", (F.col("n") - F.col("accepted")).alias("rejected"))

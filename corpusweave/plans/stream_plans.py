@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpusweave.plans.registry import query
+from corpusweave.plans.registry import ORACLE, query
 from corpusweave.session import shared_folder
 from corpusweave.streaming import conversation_state, ingest, windows
 
@@ -16,25 +16,43 @@ def _stream(t, table):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
 
 
-def _events(t):
-    return _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def _events(t, folder):
+    """(event stream, what closes it): a folder beside the events takes one row, a month after the last event and of nobody."""
+    events = t.spark.read.parquet(f"{t.folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "user_id", "event_type", "value")
+    closing = f"{folder}/closing"
+    events.limit(0).write.parquet(closing)
+
+    def close():
+        last = events.agg(F.max("ts").alias("ts")).select(F.expr("ts + interval 30 days").alias("ts"))
+        none = [F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns[1:]]
+        last.select("ts", *none).write.mode("append").parquet(closing)
+
+    stream = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(*events.columns)
+    return stream.unionByName(t.spark.readStream.schema(events.schema).parquet(closing)), close
 
 
 def _folder(t):
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-@query("stream_sessions")
+@query("stream_sessions", ORACLE["sessions"])
 def stream_sessions(t):
-    """Closed conversation sessions; the last one of each user stays open in the state."""
-    closed = ingest.drain(conversation_state.stream_sessions(_events(t)), _folder(t), "sessions")
-    return closed.select("user_id", "session", "events", "start_us", "end_us")
+    """Conversation sessions, closed by a gap or by the end of the input: the same as over the whole table."""
+    folder = _folder(t)
+    events, close = _events(t, folder)
+    closed = ingest.drain(conversation_state.stream_sessions(events), folder, "sessions", close=close)
+    return closed.where("user_id is not null").select("user_id", "session", "events", "start_us", "end_us")
 
 
-@query("stream_route_counts")
+@query(
+    "stream_route_counts",
+    "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS requests, round(sum(value), 4) AS value FROM events GROUP BY ALL",
+)
 def stream_route_counts(t):
-    """Tumbling one-hour windows that the watermark has closed."""
-    return ingest.drain(windows.route_counts(_events(t)), _folder(t), "routes")
+    """Tumbling one-hour windows, all closed at the end of the input."""
+    folder = _folder(t)
+    events, close = _events(t, folder)
+    return ingest.drain(windows.route_counts(events), folder, "routes", close=close).where("event_type is not null")
 
 
 @query(

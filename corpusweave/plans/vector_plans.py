@@ -186,10 +186,11 @@ def tie_bins_cumulative(t):
 
 @query(
     "router_crosstab",
-    f"""{TOP2} SELECT gold, {', '.join(f"count(*) FILTER (card1 = {i}) AS card_{i}" for i in range(10))}, count(*) FILTER (card1 <> gold) AS misses FROM g GROUP BY gold""",
+    f"{TOP2} SELECT gold, card1 AS card, count(*) AS n, card1 <> gold AS missed FROM g GROUP BY gold, card1",
 )
 def router_crosstab(t):
-    return M.confusion(top_two(t), "gold", "card1", range(10))
+    """How often each card is ranked first for each gold card, whatever cards there are."""
+    return top_two(t).groupBy("gold", F.col("card1").alias("card")).agg(F.count("*").alias("n")).withColumn("missed", F.col("card") != F.col("gold"))
 
 
 @query(

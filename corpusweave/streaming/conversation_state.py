@@ -20,17 +20,17 @@ def _advance(gap_us: int):
         user = key[0]
         if state.hasTimedOut:
             session, events, start, end = state.get
-            state.remove()
+            state.update((session, 0, -1, -1))  # the next session of this key has the next number
             yield pd.DataFrame([(user, session, events, start, end, True)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
             return
-        session, events, start, end = state.get if state.exists else (0, 0, None, None)
+        session, events, start, end = state.get if state.exists else (0, 0, -1, -1)
         closed = []
         # The batches of one trigger hold only that trigger's events of the key.
         for us in sorted(u for b in batches for u in b["us"].tolist()):
-            if end is not None and us - end <= gap_us:
+            if end >= 0 and us - end <= gap_us:
                 events, end = events + 1, max(end, us)
                 continue
-            if end is not None:
+            if end >= 0:
                 closed.append((user, session, events, start, end, True))
             session, events, start, end = session + 1, 1, us, us
         state.update((session, events, start, end))

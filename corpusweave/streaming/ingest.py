@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusweave.operators import corpus as C
@@ -43,13 +45,20 @@ def ingest_stream(documents: DataFrame, store: str, checkpoint: str, key: list[s
     )
 
 
-def drain(stream: DataFrame, folder: str, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available into a parquet table and read it back."""
+def drain(stream: DataFrame, folder: str, name: str, mode: str = "append", close: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over everything available into a parquet table and read it back.
+
+    ``close`` adds a last row to the stream's input once all else is read; its time moves the watermark past
+    everything still open, which a second run of the same query then emits.
+    """
     spark: SparkSession = stream.sparkSession
     target = f"{folder}/{name}"
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", f"{target}/data")
-        .option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    for step in (None, close) if close else (None,):
+        if step:
+            step()
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode).option("path", f"{target}/data")
+            .option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{target}/data")

@@ -9,7 +9,7 @@ from pyspark.sql import Row, functions as F
 
 from corpusweave import rules
 from corpusweave.operators import (
-    chunk_audit as A, citations as Ci, context as X, corpus as C, hierarchy as H, html as Hm, lexical as L, logs as Lg, metrics as M, ordering as O,
+    chunk_audit as A, citations as Ci, context as X, corpus as C, hierarchy as H, html as Hm, identity as I, lexical as L, logs as Lg, metrics as M, ordering as O,
     phrases as P, segment as G, similarity as V,
 )
 from corpusweave.operators.questions import resolve_followups
@@ -312,3 +312,21 @@ def test_group_limit_is_pushed_below_the_shuffle(spark, sf):
     df = spark.read.parquet(f"{sf}/events.parquet")
     plan = O.top_k(df, ["user_id"], [F.desc("value")], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+
+
+def test_rate_limit_takes_client_addresses(spark):
+    rows = [("10.0.0.12", f"2024-01-01 00:00:{s:02d}") for s in range(0, 40)] + [("fe80::1", "2024-01-01 00:00:01")]
+    events = spark.createDataFrame(rows, "client string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    admitted = Lg.rate_limit(events, "client", "ts", limit=30, seconds=60)
+    totals = {r.client: (r.a, r.r) for r in admitted.groupBy("client").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).collect()}
+    assert totals == {"10.0.0.12": (30, 10), "fe80::1": (1, 0)}
+
+
+def test_identity_ladder_keeps_one_row_a_card(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    cards = make([(1, "g", "p")], "source_id int, guide_id string, page_id string")
+    toc, verified = make([], "guide_id string, page_id string"), make([], "guide_id string")
+    moved = make([], "source_id int, resolved_guide_id string")
+    seen = make([("p", "g"), ("p", "h"), ("p", "i")], "page_id string, other_guide string")
+    found = I.identity_ladder(cards, toc, verified, moved, seen).collect()
+    assert [(r.source_id, r.status) for r in found] == [(1, "conflicting_identity")]
