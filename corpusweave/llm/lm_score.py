@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusweave.llm.common import Scratch, map_rows, table, words_of
+from corpusweave.llm.common import Scratch, map_rows, release_shuffles, table, words_of
 
 #: Words whose exact counts every worker holds, and their longest; all other words meet their counts in a join.
 FREQUENT, LONGEST = 1 << 18, 64
@@ -235,6 +235,7 @@ def _parts(counts: DataFrame, with_contexts: bool) -> DataFrame:
 def train(docs: DataFrame, scratch: Scratch) -> tuple[CountFilter, CountFilter]:
     """(pair filter, context filter) of the rows' texts; the second has how often a word occurs and how many kinds follow it."""
     found = scratch.write(_parts(_pair_counts(docs), True), "pairs")
+    release_shuffles(docs.sparkSession)
     contexts = found.where("bits is null").groupBy("context").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total"))
 
     def entries(batch: pa.RecordBatch) -> dict:
@@ -250,6 +251,7 @@ def train(docs: DataFrame, scratch: Scratch) -> tuple[CountFilter, CountFilter]:
         for t in (found, single)
     )
     scratch.drop(found, single)
+    release_shuffles(docs.sparkSession)
     return filters
 
 
