@@ -158,7 +158,8 @@ def draw(rows: DataFrame, scratch: Scratch, seed: int = SEED) -> tuple[DataFrame
     start = F.greatest(F.col("block") * BLOCK - F.col("first_word"), F.lit(0))
     stop = F.least((F.col("block") + 1) * BLOCK - F.col("first_word"), F.col("size"))
     cut = cut.select("row_id", "source_no", "block", start.alias("start"), stop.alias("stop"))
-    return cut.join(picks, ["source_no", "block"]).select("shard", "place", "row_id", "copy", "start", "stop"), sources
+    # the planner takes the picks for as small as the list of shards, so it is told to merge and not to broadcast them
+    return cut.join(picks.hint("merge"), ["source_no", "block"]).select("shard", "place", "row_id", "copy", "start", "stop"), sources
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def mix_counts(docs: DataFrame) -> DataFrame:
     taken = spans.groupBy("row_id").agg(F.sum(F.col("stop") - F.col("start")).alias("words"))
     named = sources.withColumnRenamed("source", "s")
     return (
-        rows.join(named, rows.source.eqNullSafe(named.s), "left")
+        rows.join(F.broadcast(named), rows.source.eqNullSafe(named.s), "left")
         .join(taken, "row_id", "left")
         .select(
             "doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
