@@ -56,21 +56,26 @@ def _rx(pattern):
     return "'(?i)" + pattern.replace("'", "''") + "'"
 
 
-@query(
-    "question_intents",
-    f"""{DERIVED}, i AS (SELECT conv_id, turn, list_filter([{', '.join(f"CASE WHEN regexp_matches(question, {_rx(p)}) THEN '{k}' END" for k, p in Q.INTENTS.items())}], lambda x: x IS NOT NULL) AS it,
+def _intents_sql(source):
+    return f"""{source}, i AS (SELECT conv_id, turn, list_filter([{', '.join(f"CASE WHEN regexp_matches(question, {_rx(p)}) THEN '{k}' END" for k, p in Q.INTENTS.items())}], lambda x: x IS NOT NULL) AS it,
     CASE WHEN regexp_matches(question, {_rx(Q.CUES['comparison'])}) OR regexp_matches(question, {_rx(Q.COMPARISON_WORDS)}) THEN 'comparison' WHEN regexp_matches(question, {_rx(Q.CAUSAL_QUESTION)}) THEN 'causal'
     WHEN regexp_matches(question, {_rx(Q.PROCESS_QUESTION)}) THEN 'workflow' WHEN regexp_matches(question, {_rx(Q.DEFINITION_QUESTION)}) THEN 'definition' ELSE 'general' END AS question_class FROM dq)
-    SELECT conv_id, turn, coalesce(it[1], 'general') AS primary_intent, array_to_string(it, ',') AS intents, question_class FROM i""",
-)
-def question_intents(t):
+    SELECT conv_id, turn, coalesce(it[1], 'general') AS primary_intent, array_to_string(it, ',') AS intents, question_class FROM i"""
+
+
+def _intents(rows):
     q = F.col("question")
-    return derived(t).select(
+    return rows.select(
         "conv_id", "turn", Qn.primary_intent(q).alias("primary_intent"), F.array_join(Qn.intents(q), ",").alias("intents"),
         Qn.question_class(q).alias("question_class"),
     )
 
 
+@query("question_intents", _intents_sql(DERIVED))
+def question_intents(t):
+    return _intents(derived(t))
+
+
 FRAME = f"list_transform({S.quoted(rules.FRAME_WORDS)}, lambda w: {S.stem2('w')})"
 CUE = f"list_transform({S.quoted(Q.CUE_WORDS)}, lambda w: {S.stem2('w')})"
 
@@ -113,16 +118,21 @@ def question_normalisation(t):
     )
 
 
-@query(
-    "comparison_concepts",
-    f"""{DERIVED}, c AS (SELECT conv_id, turn, regexp_extract(trim(question), {_rx(Q.COMPARE_LIST)}, 1) AS l1, regexp_extract(trim(question), {_rx(Q.DIFFERENCE_BETWEEN)}, 1) AS l2,
+def _concepts_sql(source):
+    return f"""{source}, c AS (SELECT conv_id, turn, regexp_extract(trim(question), {_rx(Q.COMPARE_LIST)}, 1) AS l1, regexp_extract(trim(question), {_rx(Q.DIFFERENCE_BETWEEN)}, 1) AS l2,
     regexp_extract(trim(question), {_rx(Q.VERSUS)}, 1) AS v1, regexp_extract(trim(question), {_rx(Q.VERSUS)}, 2) AS v2 FROM dq),
     p AS (SELECT *, list_filter(list_transform(regexp_split_to_array(l1, '(?i),\\s*(?:and\\s+)?|\\s+(?:and|with|to)\\s+'), lambda x: trim(x)), lambda x: length(x) > 0)[1:4] AS a,
     list_filter(list_transform(regexp_split_to_array(l2, '(?i),\\s*(?:and\\s+)?|\\s+and\\s+'), lambda x: trim(x)), lambda x: length(x) > 0)[1:4] AS b FROM c)
-    SELECT conv_id, turn, array_to_string(CASE WHEN len(a) >= 2 THEN a WHEN len(b) >= 2 THEN b WHEN v1 <> '' AND v2 <> '' THEN [trim(v1), trim(v2)] ELSE []::VARCHAR[] END, '|') AS concepts FROM p""",
-)
+    SELECT conv_id, turn, array_to_string(CASE WHEN len(a) >= 2 THEN a WHEN len(b) >= 2 THEN b WHEN v1 <> '' AND v2 <> '' THEN [trim(v1), trim(v2)] ELSE []::VARCHAR[] END, '|') AS concepts FROM p"""
+
+
+def _concepts(rows):
+    return rows.select("conv_id", "turn", F.array_join(Qn.comparison_concepts(F.col("question")), "|").alias("concepts"))
+
+
+@query("comparison_concepts", _concepts_sql(DERIVED))
 def comparison_concepts(t):
-    return derived(t).select("conv_id", "turn", F.array_join(Qn.comparison_concepts(F.col("question")), "|").alias("concepts"))
+    return _concepts(derived(t))
 
 
 @query("title_subsequence")
@@ -189,3 +199,26 @@ def numbered_steps(t):
     return steps.select(
         "conv_id", "turn", F.size("steps").alias("steps"), F.try_element_at("steps", Qn.ordinal_target(F.lit("What about the third step?"))).alias("third_step")
     )
+
+# ---------------------------------------------------------------- whole messages and questions as they are written
+def written(t):
+    """Every user message and every benchmark question with its whole text."""
+    said = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    asked = t.benchmark.select(F.col("item_id").cast("long").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.col("text").alias("question"))
+    return said.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "question").unionByName(asked)
+
+
+WRITTEN = """WITH dq AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, text AS question FROM conversations WHERE role = 'user'
+UNION ALL SELECT item_id::BIGINT, -1::BIGINT, text FROM benchmark)"""
+
+
+@query("written_intents", _intents_sql(WRITTEN))
+def written_intents(t):
+    """Intents and class of whole messages and questions."""
+    return _intents(written(t))
+
+
+@query("written_concepts", _concepts_sql(WRITTEN))
+def written_concepts(t):
+    """Compared concepts named in whole messages and questions."""
+    return _concepts(written(t))
