@@ -80,23 +80,28 @@ FRAME = f"list_transform({S.quoted(rules.FRAME_WORDS)}, lambda w: {S.stem2('w')}
 CUE = f"list_transform({S.quoted(Q.CUE_WORDS)}, lambda w: {S.stem2('w')})"
 
 
-@query(
-    "question_needs",
-    f"""{DERIVED}, k AS (SELECT conv_id, turn, question, list_filter([{', '.join(f"CASE WHEN regexp_matches(lower(question), '{p}') THEN '{n}' END" for n, p in Q.CUES.items())}], lambda x: x IS NOT NULL) AS kinds,
+def _needs_sql(source):
+    return f"""{source}, k AS (SELECT conv_id, turn, question, list_filter([{', '.join(f"CASE WHEN regexp_matches(lower(question), '{p}') THEN '{n}' END" for n, p in Q.CUES.items())}], lambda x: x IS NOT NULL) AS kinds,
     list_filter(list_distinct({S.terms2('question')}), lambda x: NOT list_contains({FRAME}, x)) AS plain, regexp_extract_all(lower(replace(question, '-', ' ')), '[a-z0-9][a-z0-9_]*') AS tk FROM dq),
     a AS (SELECT *, list_filter(plain, lambda x: NOT list_contains({CUE}, x)) AS reduced, list_filter(list_transform(tk, lambda w, i: CASE WHEN w IN ('which', 'what') OR (w IN ('many', 'much') AND i > 1 AND tk[i - 1] = 'how') THEN
         list_transform(list_filter(tk[i + 1:i + 4], lambda x: length(x) > 2 AND NOT list_contains({S.quoted(rules.STOP_WORDS | rules.ASK_SKIP_WORDS)}, x) AND NOT list_contains({FRAME}, {S.stem2('x')})), lambda x: {S.stem2('x')})[1] END), lambda x: x IS NOT NULL) AS asked FROM k)
     SELECT conv_id, turn, array_to_string(kinds, ',') AS kinds, array_to_string(list_sort(CASE WHEN (list_contains(kinds, 'limit') OR list_contains(kinds, 'default')) AND len(reduced) > 0 THEN reduced ELSE plain END), ' ') AS focus,
-    array_to_string(list_filter(list_distinct(asked), lambda x: NOT list_contains({CUE}, x)), ' ') AS asked FROM a""",
-)
-def question_needs(t):
+    array_to_string(list_filter(list_distinct(asked), lambda x: NOT list_contains({CUE}, x)), ' ') AS asked FROM a"""
+
+
+def _needs(rows):
     q = F.col("question")
-    return derived(t).select(
+    return rows.select(
         "conv_id", "turn", F.array_join(Qn.kinds(q), ",").alias("kinds"),
         F.array_join(F.array_sort(Qn.focus_terms(q)), " ").alias("focus"), F.array_join(Qn.asked_terms(q), " ").alias("asked"),
     )
 
 
+@query("question_needs", _needs_sql(DERIVED))
+def question_needs(t):
+    return _needs(derived(t))
+
+
 def _strip_sql(expr):
     out = f"trim({expr})"
     for p in Q.INSTRUCTION_DELETIONS:
@@ -104,20 +109,25 @@ def _strip_sql(expr):
     return f"CASE WHEN {out} = '' THEN trim({expr}) ELSE {out} END"
 
 
-@query(
-    "question_normalisation",
-    f"""{DERIVED}, s AS (SELECT *, {_strip_sql('question')} AS stripped FROM dq)
+def _normalisation_sql(source):
+    return f"""{source}, s AS (SELECT *, {_strip_sql('question')} AS stripped FROM dq)
     SELECT conv_id, turn, stripped, array_to_string(list_filter([trim(question), {', '.join(f"CASE WHEN regexp_matches(question, {_rx(p)}) AND NOT contains(lower(question), '{a}') THEN '{a}' END" for p, a in ALIASES)}], lambda x: x IS NOT NULL), ' ') AS expanded,
-    length(trim(text)) BETWEEN 1 AND {rules.MAX_QUESTION_CHARS} AS valid FROM s""",
-)
-def question_normalisation(t):
+    length(trim(text)) BETWEEN 1 AND {rules.MAX_QUESTION_CHARS} AS valid FROM s"""
+
+
+def _normalisation(rows):
     q = F.col("question")
-    return derived(t).select(
+    return rows.select(
         "conv_id", "turn", Qn.strip_instructions(q).alias("stripped"), Qn.expand_aliases(q, ALIASES).alias("expanded"),
         Qn.valid_question(F.col("text")).alias("valid"),
     )
 
 
+@query("question_normalisation", _normalisation_sql(DERIVED))
+def question_normalisation(t):
+    return _normalisation(derived(t))
+
+
 def _concepts_sql(source):
     return f"""{source}, c AS (SELECT conv_id, turn, regexp_extract(trim(question), {_rx(Q.COMPARE_LIST)}, 1) AS l1, regexp_extract(trim(question), {_rx(Q.DIFFERENCE_BETWEEN)}, 1) AS l2,
     regexp_extract(trim(question), {_rx(Q.VERSUS)}, 1) AS v1, regexp_extract(trim(question), {_rx(Q.VERSUS)}, 2) AS v2 FROM dq),
@@ -205,11 +215,11 @@ def written(t):
     """Every user message and every benchmark question with its whole text."""
     said = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     asked = t.benchmark.select(F.col("item_id").cast("long").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.col("text").alias("question"))
-    return said.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "question").unionByName(asked)
+    return said.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "question").unionByName(asked).withColumn("text", F.col("question"))
 
 
-WRITTEN = """WITH dq AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, text AS question FROM conversations WHERE role = 'user'
-UNION ALL SELECT item_id::BIGINT, -1::BIGINT, text FROM benchmark)"""
+WRITTEN = """WITH dq AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, text, text AS question FROM conversations WHERE role = 'user'
+UNION ALL SELECT item_id::BIGINT, -1::BIGINT, text, text FROM benchmark)"""
 
 
 @query("written_intents", _intents_sql(WRITTEN))
@@ -222,3 +232,15 @@ def written_intents(t):
 def written_concepts(t):
     """Compared concepts named in whole messages and questions."""
     return _concepts(written(t))
+
+
+@query("written_needs", _needs_sql(WRITTEN))
+def written_needs(t):
+    """Kinds of evidence, focus and asked-for terms of whole messages and questions."""
+    return _needs(written(t))
+
+
+@query("written_normalisation", _normalisation_sql(WRITTEN))
+def written_normalisation(t):
+    """Whole messages and questions without instructions, with aliases, and whether they are valid."""
+    return _normalisation(written(t))
