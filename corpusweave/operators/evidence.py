@@ -134,12 +134,13 @@ def focus_weights(units: DataFrame) -> DataFrame:
     )
 
 
-def assess(units: DataFrame, tau: float = rules.EVIDENCE_TAU) -> DataFrame:
+def assess(units: DataFrame, questions: DataFrame | None = None, tau: float = rules.EVIDENCE_TAU) -> DataFrame:
     """Sufficiency decision of every question from its scored units.
 
     ``units`` has ``query_id, focus, asked, kinds, own, head, sentence, prev_line, score``. Gates in
     order: nothing to look for, asked-for noun not in evidence next to another focus term, kind of
-    evidence missing, best score below ``tau``.
+    evidence missing, best score below ``tau``. With ``questions`` (``query_id, focus``) those without any
+    unit are answered too: nothing to look for, or no evidence.
     """
     full = F.concat_ws(" ", "prev_line", "sentence")
     kind_ok = kinds_satisfied(F.col("kinds"), full)
@@ -171,7 +172,13 @@ def assess(units: DataFrame, tau: float = rules.EVIDENCE_TAU) -> DataFrame:
         .when(F.coalesce("best", F.lit(0.0)) < tau, "LOW_FOCUS_COVERAGE")
         .otherwise("SUPPORTED")
     )
-    return grouped.select("query_id", "units", F.round("best", 6).alias("best"), reason.alias("reason"))
+    decided = grouped.select("query_id", "units", F.round("best", 6).alias("best"), reason.alias("reason"))
+    if questions is None:
+        return decided
+    nothing = F.when(F.size("focus") == 0, "NO_QUERY_TERMS").otherwise("NO_EVIDENCE")
+    return questions.select("query_id", "focus").join(decided, "query_id", "left").select(
+        "query_id", F.coalesce("units", F.lit(0)).alias("units"), "best", F.coalesce("reason", nothing).alias("reason")
+    )
 
 
 def select_answer_units(units: DataFrame, tau: float = rules.EVIDENCE_TAU, most: int = rules.EXTRACTIVE_MAX_SENTENCES) -> DataFrame:

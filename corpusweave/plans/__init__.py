@@ -14,6 +14,7 @@ FAMILIES = (
     "concept_plans",
     "metric_plans",
     "stream_plans",
+    "source_plans",
 )
 
 

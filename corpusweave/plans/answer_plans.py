@@ -18,13 +18,15 @@ from corpusweave.plans.registry import query
 from corpusweave.session import materialise
 
 HITS_PER_QUESTION = 5
+#: Chunk ids of a document: more than an array can hold, so ids of two documents never meet.
+CHUNK_IDS = 1 << 32
 
 
 def chunk_table(t):
     docs = t.documents.select("doc_id", "text", F.get(F.split("text", "\n"), 0).alias("title"))
     cut = bind(docs, cs=G.pack_text(F.col("text"))).select("doc_id", "title", F.posexplode("cs").alias("chunk_index", "text"))
     return cut.select(
-        (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("page"), "chunk_index", "title", "text"
+        (F.col("doc_id") * CHUNK_IDS + F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("page"), "chunk_index", "title", "text"
     )
 
 
@@ -41,7 +43,7 @@ def items_of(t):
 
 
 CTX = f"""WITH ca AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, {S.chunk_list('text')} AS cs FROM documents),
-chunks AS (SELECT doc_id * 100000 + i AS cid, doc_id AS page, i AS ci, title, c AS text FROM (SELECT doc_id, title, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM ca)),
+chunks AS (SELECT doc_id * {CHUNK_IDS} + i AS cid, doc_id AS page, i AS ci, title, c AS text FROM (SELECT doc_id, title, unnest(cs) AS c, unnest(range(len(cs))) AS i FROM ca)),
 ctok AS (SELECT cid, {S.tokenize('text')} AS tk FROM chunks), dt AS (SELECT cid, unnest(tk) AS term FROM ctok), tf AS (SELECT cid, term, count(*) AS tf FROM dt GROUP BY ALL),
 dl AS (SELECT cid, len(tk) AS dl FROM ctok), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), dfreq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 qt AS (SELECT item_id AS query_id, unnest({S.tokenize('text')}) AS term FROM benchmark), q AS (SELECT query_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
@@ -220,11 +222,13 @@ def evidence_focus_weights(t):
 
 @query(
     "evidence_sufficiency",
-    f"""{SCORED} SELECT query_id, count(*) AS units, max(score) AS best, CASE WHEN max(len(focus)) = 0 THEN 'NO_QUERY_TERMS'
-    WHEN max(score) < {rules.EVIDENCE_TAU} THEN 'LOW_FOCUS_COVERAGE' ELSE 'SUPPORTED' END AS reason FROM scored GROUP BY query_id""",
+    f"""{SCORED} SELECT f.query_id, count(s.unit_no) AS units, max(s.score) AS best, CASE WHEN any_value(len(f.focus)) = 0 THEN 'NO_QUERY_TERMS'
+    WHEN count(s.unit_no) = 0 THEN 'NO_EVIDENCE' WHEN max(s.score) < {rules.EVIDENCE_TAU} THEN 'LOW_FOCUS_COVERAGE' ELSE 'SUPPORTED' END AS reason
+    FROM foc f LEFT JOIN scored s ON s.query_id = f.query_id GROUP BY f.query_id""",
 )
 def evidence_sufficiency(t):
-    return Ev.assess(scored_units(t)).select("query_id", "units", "best", "reason")
+    asked = questions(t).select("query_id", Qn.focus_terms(F.col("text")).alias("focus"))
+    return Ev.assess(scored_units(t), asked).select("query_id", "units", "best", "reason")
 
 
 @query(
