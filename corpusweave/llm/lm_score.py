@@ -8,16 +8,17 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusweave.llm.common import Scratch, map_rows, release_shuffles, table, words_of
+from corpusweave.llm.common import Scratch, as_array, release_shuffles, table, words_of
 
 #: Words whose exact counts every worker holds, and their longest; all other words meet their counts in a join.
 FREQUENT, LONGEST = 1 << 18, 64
-#: The filter's parts, the bytes of a part, bits for an entry and probes. PARTS * PART_BYTES bounds what is broadcast.
-PARTS, PART_BYTES, BITS, PROBES = 4096, 8 << 10, 8, 4
-#: Events counted together before they leave a task, words scored together.
-EVENTS, CHUNK = 1 << 22, 1 << 17
+#: The least number of a filter's parts, the counted events for which there is one more, bits for an entry and probes.
+PARTS, PART_EVENTS, BITS, PROBES = 4096, 1 << 18, 8, 4
+#: Events counted together before they leave a task, words of a stretch of text, words whose n-grams are asked for together.
+EVENTS, CHUNK, GROUP = 1 << 22, 1 << 17, 1 << 20
 #: The end of a text counts as an empty word; the word before the first is one that no text has.
 END, BEGIN = b"", b" "
 BEGIN_HASH, END_HASH = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -65,31 +66,34 @@ def place(one: np.ndarray, two: np.ndarray, i: int, size: np.ndarray | np.uint64
     return (((one + np.uint64(i) * two) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
 
 
-def build_part(keys: np.ndarray, levels: np.ndarray) -> tuple[int, bytes]:
-    """(lowest level, bits) of a part: an n-gram of level q is entered once for each level up to q.
+def parts_for(events: int) -> int:
+    """How many parts a filter has: a power of two that grows with what is counted, so a part's share does not."""
+    return max(PARTS, 1 << max(0, -(-events // PART_EVENTS) - 1).bit_length())
 
-    Levels are taken from the top as long as they fit PART_BYTES; below the lowest one nothing is entered.
-    """
+
+def part_of(keys: np.ndarray, number: int) -> np.ndarray:
+    """The part of an n-gram: its upper bits, so sorted keys have sorted parts."""
+    return (((keys >> np.uint64(32)) * np.uint64(number)) >> np.uint64(32)).astype(np.int64)
+
+
+def build_part(keys: np.ndarray, levels: np.ndarray) -> tuple[int, bytes]:
+    """(lowest level, bits) of a part: an n-gram of level q is entered once for each level up to q, from 1 on."""
     reach = np.cumsum(np.bincount(levels)[::-1])[::-1] if len(levels) else np.zeros(1, np.int64)  # n-grams of at least a level
-    room, lowest, entries = PART_BYTES * 8 // BITS, len(reach), 0
-    while lowest > 1 and entries + reach[lowest - 1] <= room:
-        lowest -= 1
-        entries += int(reach[lowest])
-    size = max(64, -(-entries * BITS // 64) * 64)
+    size = max(64, -(-int(reach[1:].sum()) * BITS // 64) * 64)
     bits = np.zeros(size, bool)
-    for level in range(lowest, len(reach)):
+    for level in range(1, len(reach)):
         one, two = halves(keys[levels >= level], level)
         for i in range(PROBES):
             bits[place(one, two, i, np.uint64(size)).view(np.int64)] = True
-    return lowest, np.packbits(bits, bitorder="little").tobytes()
+    return 1, np.packbits(bits, bitorder="little").tobytes()
 
 
 class CountFilter:
-    """The parts put together; ``counts`` asks for quantised counts by repeated membership probes."""
+    """Parts put together; ``counts`` asks for quantised counts by repeated membership probes."""
 
-    def __init__(self, parts: Iterable[tuple[int, int, bytes]]):
-        self.lowest, self.size = np.ones(PARTS, np.int64), np.full(PARTS, 64, np.uint64)
-        self.begin, found = np.zeros(PARTS, np.uint64), bytearray(8)
+    def __init__(self, parts: Iterable[tuple[int, int, bytes]], number: int = PARTS):
+        self.number, self.lowest, self.size = number, np.ones(number, np.int64), np.full(number, 64, np.uint64)
+        self.begin, found = np.zeros(number, np.uint64), bytearray(8)
         total = 64
         for part, lowest, bits in parts:
             self.lowest[part], self.size[part], self.begin[part] = lowest, 8 * len(bits), total
@@ -98,7 +102,10 @@ class CountFilter:
         self.bits = np.frombuffer(found, np.uint8)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        part = (keys >> np.uint64(52)).view(np.int64)
+        return count_of(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        part = part_of(keys, self.number)
         level, size, begin = self.lowest[part], self.size[part], self.begin[part]
         found, at = np.zeros(len(keys), np.int64), np.arange(len(keys))
         while len(at):
@@ -110,7 +117,22 @@ class CountFilter:
             at, keys, level, size, begin = at[there], keys[there], level[there], size[there], begin[there]
             found[at] = level
             level = level + 1
-        return count_of(found)
+        return found
+
+
+def starts(values: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted ones."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+def packed(slots: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """A row for each of the sorted ``slots``: the slot, and its stretch of each column as bytes."""
+    first = starts(slots)
+    cut, out = np.append(first, len(slots)), [pa.array(slots[first])]
+    for column in columns:
+        offsets = (cut * column.itemsize).astype(np.int32)
+        out.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(column))]))
+    return out
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -134,8 +156,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _pair_counts(docs: DataFrame) -> DataFrame:
-    """``key, context, n``: pairs of neighbouring tokens, summed inside a task before they are shuffled."""
+def _pair_counts(docs: DataFrame, number: int) -> DataFrame:
+    """``slot, keys, contexts, n``: pairs of neighbouring tokens, summed inside a task and packed by part."""
 
     def run(batches):
         before, after, held = [], [], 0
@@ -157,104 +179,144 @@ def _pair_counts(docs: DataFrame) -> DataFrame:
         keys = pairs_of(before, np.concatenate(after))
         order = np.argsort(keys)
         keys, before = keys[order], before[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        n = np.diff(np.append(first, len(keys))).astype(np.int32)
-        columns = [pa.array(keys[first].view(np.int64)), pa.array(before[first].view(np.int64)), pa.array(n)]
-        return pa.RecordBatch.from_arrays(columns, ["key", "context", "n"])
+        first = starts(keys)
+        n = np.diff(np.append(first, len(keys)))
+        return pa.RecordBatch.from_arrays(packed(part_of(keys[first], number), keys[first], before[first], n), ["slot", "keys", "contexts", "n"])
+
+    return docs.select("text").mapInArrow(run, "slot long, keys binary, contexts binary, n binary")
+
 
-    return docs.select("text").mapInArrow(run, "key long, context long, n int")
+def _context_counts(contexts: DataFrame, number: int) -> DataFrame:
+    """``slot, keys, contexts, n`` of ``context, kinds, total``: two entries for a word, packed by part."""
+
+    def run(batches):
+        held, waiting = [], 0
+        for batch in batches:
+            held.append([batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()])
+            waiting += batch.num_rows
+            if waiting >= EVENTS // 4:
+                yield entries(held)
+                held, waiting = [], 0
+        if waiting:
+            yield entries(held)
+
+    def entries(held: list) -> pa.RecordBatch:
+        own, kinds, total = map(np.concatenate, zip(*held))
+        keys, n = np.concatenate([mixed(own ^ TOTAL), mixed(own ^ KINDS)]), np.concatenate([total, kinds])
+        order = np.argsort(keys)
+        return pa.RecordBatch.from_arrays(packed(part_of(keys[order], number), keys[order], n[order]), ["slot", "keys", "n"])
 
+    found = contexts.select("context", "kinds", "total").mapInArrow(run, "slot long, keys binary, n binary")
+    return found.select("slot", "keys", F.lit(None).cast("binary").alias("contexts"), "n")
 
-def _parts(counts: DataFrame, with_contexts: bool) -> DataFrame:
-    """Filter parts of ``key, n`` (and ``context``), and for each context seen how many pairs and how often.
 
-    A part's rows meet in one task as a sorted stream; equal keys are summed as they come, and only what fits
-    the part is held. Context rows have ``bits`` null.
+def _parts(counts: DataFrame) -> DataFrame:
+    """Filter parts of packed counts, and for each context seen how many pairs and how often.
+
+    A part's rows meet in one task, which sums equal keys and enters all of them; the number of parts grows with the
+    counted events, so a part does not. Context rows have ``bits`` null.
     """
-    names = ["part", "lowest", "bits", "context", "kinds", "total"]
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["slot", "lowest", "bits", "context", "kinds", "total"]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        rest, part, keys, levels = None, None, np.empty(0, np.uint64), np.empty(0, np.int64)
-        for batch in chained(batches):
-            if batch is not None:
-                own = [batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()]
-                rest = own if rest is None else [np.concatenate(x) for x in zip(rest, own)]
-                if not len(rest[0]):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], rest[0][1:] != rest[0][:-1]]))
-                whole, last = first[:-1], first[-1]  # the last key may go on in the next batch
-            elif rest is not None and len(rest[0]):
-                first = np.flatnonzero(np.concatenate([[True], rest[0][1:] != rest[0][:-1]]))
-                whole, last = first, len(rest[0])
-            else:
-                break
-            key, total, context = rest[0][whole], np.add.reduceat(rest[1][:last], whole) if len(whole) else rest[1][:0], rest[2][whole]
-            rest = [x[last:] for x in rest]
-            if with_contexts and len(key):
-                yield context_rows(context, total)
-            parts, level = (key >> np.uint64(52)).astype(np.int64), level_of(total)
-            for p in np.unique(parts).tolist():
-                if part is not None and part != p:
-                    yield part_row(part, keys, levels)
-                    keys, levels = keys[:0], levels[:0]
-                part, here = p, parts == p
-                keys, levels = fitting(np.concatenate([keys, key[here]]), np.concatenate([levels, level[here]]))
-        if part is not None:
-            yield part_row(part, keys, levels)
-
-    def chained(batches):
-        yield from batches
-        yield None
-
-    def context_rows(context, total):
+        part, held, sums, waiting = None, [], [], 0
+        for batch in batches:
+            for slot, *own in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and part != slot:
+                    row, found = finished(part, held)
+                    yield row
+                    held = []
+                    if found is not None:
+                        sums.append(found)
+                        waiting += len(found[0])
+                    if waiting > EVENTS // 4:
+                        yield context_rows(sums)
+                        sums, waiting = [], 0
+                part = slot
+                held.append(own)
+        if held:
+            row, found = finished(part, held)
+            yield row
+            sums += [found] if found is not None else []
+        if sums:
+            yield context_rows(sums)
+
+    def finished(part, held):
+        keys, n = (np.frombuffer(b"".join(row[k] for row in held), kind) for k, kind in ((0, np.uint64), (2, np.int64)))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = starts(keys)
+        total = np.add.reduceat(n[order], first)
+        row = [pa.array([v], t) for v, t in zip((part, *build_part(keys[first], level_of(total)), None, None, None), types)]
+        row = pa.RecordBatch.from_arrays(row, names)
+        if held[0][1] is None:
+            return row, None
+        context = np.frombuffer(b"".join(row[1] for row in held), np.uint64)[order[first]]
+        return row, (context, total)
+
+    def context_rows(sums):
+        context, total = map(np.concatenate, zip(*sums))
         order = np.argsort(context)
         own = context[order]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        kinds, sums = np.diff(np.append(first, len(own))), np.add.reduceat(total[order], first)
+        first = starts(own)
+        kinds, total = np.diff(np.append(first, len(own))), np.add.reduceat(total[order], first)
         empty = [pa.nulls(len(first), t) for t in types[:3]]
-        return pa.RecordBatch.from_arrays([*empty, pa.array(own[first]), pa.array(kinds), pa.array(sums)], names)
+        return pa.RecordBatch.from_arrays([*empty, pa.array(own[first].view(np.int64)), pa.array(kinds), pa.array(total)], names)
 
-    def fitting(keys, levels):
-        """Entries of a level that cannot fit any more go while the part is read, so a task holds a few parts' worth."""
-        while len(keys) > 2 * PART_BYTES * 8 // BITS:
-            stay = levels > levels.min()
-            keys, levels = keys[stay], levels[stay]
-        return keys, levels
+    rows = counts.repartition("slot").sortWithinPartitions("slot")
+    return rows.mapInArrow(run, "slot long, lowest int, bits binary, context long, kinds long, total long")
 
-    def part_row(part, keys, levels):
-        lowest, bits = build_part(keys, levels)
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, lowest, bits, None, None, None), types)], names)
 
-    context = F.col("context") if with_contexts else F.lit(0).cast("long")
-    rows = counts.select("key", F.col("n").cast("long").alias("n"), context.alias("context")).repartition(F.shiftrightunsigned("key", 52))
-    rows = rows.sortWithinPartitions(F.shiftrightunsigned("key", 52), "key")
-    return rows.mapInArrow(run, "part int, lowest int, bits binary, context long, kinds long, total long")
+def train(docs: DataFrame, scratch: Scratch, number: int) -> DataFrame:
+    """``slot, lowest, bits``: a filter of pairs in ``number`` parts, then one of how often a word occurs and how many kinds follow it.
 
-
-def train(docs: DataFrame, scratch: Scratch) -> tuple[CountFilter, CountFilter]:
-    """(pair filter, context filter) of the rows' texts; the second has how often a word occurs and how many kinds follow it."""
-    found = scratch.write(_parts(_pair_counts(docs), True), "pairs")
+    The filters hold every n-gram, so they grow with the corpus and stay a table.
+    """
+    found = scratch.write(_parts(_pair_counts(docs, number)), "pairs")
     release_shuffles(docs.sparkSession)
     contexts = found.where("bits is null").groupBy("context").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total"))
-
-    def entries(batch: pa.RecordBatch) -> dict:
-        own = batch.column(0).to_numpy().view(np.uint64)
-        keys = np.concatenate([mixed(own ^ TOTAL), mixed(own ^ KINDS)]).view(np.int64)
-        return {"key": pa.array(keys), "n": pa.concat_arrays([batch.column(2), batch.column(1)])}
-
-    keyed = map_rows(contexts, entries, "key long, n long")
-    single = scratch.write(_parts(keyed, False), "contexts")
-    # PARTS rows of at most PART_BYTES each, whatever the corpus holds
-    filters = tuple(
-        CountFilter(tuple(r) for r in t.where("bits is not null").select("part", "lowest", "bits").toLocalIterator())
-        for t in (found, single)
-    )
+    single = scratch.write(_parts(_context_counts(contexts, number)), "contexts")
+    parts = found.select("slot", "lowest", "bits"), single.select(F.col("slot") + number, "lowest", "bits")
+    filters = scratch.write(parts[0].unionAll(parts[1]).where("bits is not null").toDF("slot", "lowest", "bits"), "filters")
     scratch.drop(found, single)
     release_shuffles(docs.sparkSession)
     return filters
 
 
+def answers(filters: DataFrame, asked: DataFrame) -> DataFrame:
+    """``block, slot, levels`` for ``block, slot, keys``: keys go to their part and come back as a byte each."""
+    names = ["block", "slot", "levels"]
+
+    def run(batches):
+        part, own, waiting = None, None, []
+        for batch in batches:
+            for slot, lowest, bits, block, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                if slot != part:
+                    if waiting:
+                        yield probed(part, own, waiting)
+                    part, own, waiting = slot, None, []
+                if block is None:
+                    own = CountFilter([(0, lowest, bits)], 1)
+                else:
+                    waiting.append((block, keys))
+        if waiting:
+            yield probed(part, own, waiting)
+
+    def probed(part, own, waiting):
+        blocks, keys = zip(*waiting)
+        every = np.frombuffer(b"".join(keys), np.uint64)
+        levels = (np.zeros(len(every), np.int64) if own is None else own.levels(every)).astype(np.uint8)
+        cut = np.cumsum([0, *(len(k) // 8 for k in keys)])
+        out = [levels[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([part] * len(out), pa.int64()), pa.array(out, pa.binary())], names)
+
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("block", "long"), ("keys", "binary"))]
+    rows = filters.select("slot", "lowest", "bits", *none)
+    rows = rows.unionAll(asked.select("slot", F.lit(None).cast("int"), F.lit(None).cast("binary"), "block", "keys"))
+    return rows.repartition("slot").sortWithinPartitions("slot", F.col("block").asc_nulls_first()).mapInArrow(run, "block long, slot long, levels binary")
+
+
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
     """At most ``most`` words with the highest counts, none longer than ``LONGEST`` bytes."""
     short = counts.where(F.octet_length("word") <= LONGEST).withColumn("step", F.floor(8 * F.log2("c")).cast("int"))
@@ -267,16 +329,100 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
     return {} if least is None else {bytes(r.word): r.c for r in short.where(F.col("step") >= least).select("word", "c").collect()}
 
 
+def words_in(ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word before, word) of stretches whose ids begin with that of the word before."""
+    head = np.cumsum(length + 1) - length - 1
+    place = np.ones(len(ids), bool)
+    place[head] = False
+    at = np.flatnonzero(place)
+    return ids[at - 1], ids[at]
+
+
+def asked_of(hashed: np.ndarray, old: np.ndarray, new: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(sorted keys, where each came first, which key each place has) of the pairs and of the words' two counts."""
+    pairs = np.unique(pairs_of(hashed[old], hashed[new]), return_index=True, return_inverse=True)
+    return pairs, np.unique(np.concatenate([mixed(hashed ^ TOTAL), mixed(hashed ^ KINDS)]), return_index=True, return_inverse=True)
+
+
+def by_plane(ids: np.ndarray) -> bytes:
+    """All low bytes, then all next ones and so on: the upper ones are nearly all 0 and take no room on disk."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def read_block(hashed: bytes, ids: bytes, length: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(hashed, np.uint64), from_planes(ids), np.frombuffer(length, np.int64)
+
+
+def questions(blocks: DataFrame, number: int) -> DataFrame:
+    """``block, slot, keys``: the different n-grams of each block by part."""
+    names = ["block", "slot", "keys"]
+
+    def run(batches):
+        for batch in batches:
+            for block, *text in zip(*(c.to_pylist() for c in batch.columns)):
+                hashed, ids, length = read_block(*text)
+                (pairs, *_), (words, *_) = asked_of(hashed, *words_in(ids, length))
+                slot, keys = packed(np.concatenate([part_of(pairs, number), part_of(words, number) + number]), np.concatenate([pairs, words]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), block, np.int64)), slot, keys], names)
+
+    return blocks.select("block", "hashed", "ids", "length").mapInArrow(run, "block long, slot long, keys binary")
+
+
+def pair_scores(found: DataFrame, blocks: DataFrame, room: float, ends: int) -> DataFrame:
+    """``row_id, score`` of stretches of text, from what the filters answered for their block (``found``)."""
+
+    def run(batches):
+        block, levels = None, []
+        for batch in batches:
+            for own, _, answer, *text in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != block:
+                    block, levels = own, []
+                if answer is None:
+                    yield judged(np.frombuffer(b"".join(levels), np.uint8).astype(np.int64), *text)
+                else:
+                    levels.append(answer)
+
+    def judged(levels, hashed, ids, length, rows):
+        hashed, ids, length = read_block(hashed, ids, length)
+        rows = np.frombuffer(rows, np.int64)
+        old, new = words_in(ids, length)
+        (pairs, first, back), (words, _, word_back) = asked_of(hashed, old, new)
+        if len(levels) != len(pairs) + len(words):
+            raise RuntimeError(f"{len(levels)} answers to {len(pairs) + len(words)} questions")
+        often, kinds = np.split(count_of(levels[len(pairs) :])[word_back], 2)
+        often = np.where((hashed == END_HASH) | (hashed == BEGIN_HASH), ends, often)
+        old, new = old[first], new[first]
+        plain, total_before, kinds_before = (often[new] + 0.1) / room, often[old], kinds[old]
+        both = np.minimum(count_of(levels[: len(pairs)]), total_before)
+        mixed_share = (both + kinds_before * plain) / np.maximum(total_before + kinds_before, 1e-9)
+        share = np.where((total_before > 0) & (kinds_before > 0), mixed_share, plain)
+        score = np.add.reduceat(np.log10(np.minimum(share, 1.0))[back], np.cumsum(length) - length)
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(score)], ["row_id", "score"])
+
+    text = ["hashed", "ids", "length", "rows"]
+    rows = found.select("block", "slot", "levels", *(F.lit(None).cast("binary").alias(c) for c in text))
+    rows = rows.unionAll(blocks.select("block", F.lit(None).cast("long"), F.lit(None).cast("binary"), *text))
+    return rows.repartition("block").sortWithinPartitions("block", F.col("slot").asc_nulls_last()).mapInArrow(run, "row_id long, score double")
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     ``base_score`` is exact: frequent words are looked up in a table of bounded size, the others are joined
     with their counts. ``score`` is that of a pair model whose counts come from the filters: the share of a word
     after its predecessor, filled up by the number of kinds seen after it times the word's own smoothed share
-    (Witten-Bell). Counts are halves of powers of two, now and then too high where probes hit by chance, and 0
-    below the lowest level that fits the filters' bound. Null and empty texts have the end token only; rows
-    that repeat a doc_id are scored one by one, and in training each counts.
+    (Witten-Bell). Counts are halves of powers of two, now and then too high where probes hit by chance. The filters
+    hold all n-grams and stay in parts: the different n-grams of a block of texts go to their parts and the counts
+    come back. Null and empty texts have the end token only; rows that repeat a doc_id are scored one by one, and
+    in training each counts.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -284,43 +430,53 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = scratch.write(token_counts(learn), "counts")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, room = size.n, size.n + 0.1 * (size.v + 1)
+    release_shuffles(spark)
     known = spark.sparkContext.broadcast(frequent_words(counts))
     ends = next((r.c for r in counts.where(F.col("word") == F.lit(END)).select("c").collect()), 0)
-    model = spark.sparkContext.broadcast(train(learn, scratch))
+    number = parts_for(total)
+    filters = train(learn, scratch, number)
     limit = float(np.log10(room))
 
-    def make(batch: pa.RecordBatch) -> dict:
-        out = {"n_tokens": np.zeros(batch.num_rows, np.int64), "n_known": np.zeros(batch.num_rows, np.int64)}
-        out |= {"logs": np.zeros(batch.num_rows), "rare": [[] for _ in range(batch.num_rows)], "score": np.zeros(batch.num_rows)}
-        stretches, held = [], 0
-        for row, text in enumerate(batch.column(2)):
-            words = words_of(text.as_py())
-            words.append(END)
-            out["n_tokens"][row] = len(words)
-            for k in range(0, len(words), CHUNK):
-                stretches.append((row, words[k - 1] if k else BEGIN, words[k : k + CHUNK] if len(words) > CHUNK else words))
-                held += len(stretches[-1][2])
-                if held > CHUNK:
-                    judge(stretches, out)
-                    stretches, held = [], 0
-        if stretches:
-            judge(stretches, out)
-        return {"row_id": batch.column(0), "doc_id": batch.column(1)} | out
-
-    def judge(stretches: list[tuple[int, bytes, list[bytes]]], out: dict) -> None:
-        """Add what (row, word before, words) stretches give; every different word is looked up once."""
-        pair, single = model.value
-        exact, number, ids = known.value, {}, []
+    schema = "row_id long, doc_id long, n_tokens long, n_known long, logs double, rare array<struct<word: binary, n: int>>"
+    schema += ", block long, hashed binary, ids binary, length binary, rows binary"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        """Rows with their exact part of the score, and blocks of text as word numbers."""
+        block = TaskContext.get().partitionId() << 32
+
+        def filled(columns: dict) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+
+        for batch in batches:
+            out = {"row_id": batch.column(0), "doc_id": batch.column(1), "n_tokens": np.zeros(batch.num_rows, np.int64), "n_known": np.zeros(batch.num_rows, np.int64)}
+            out |= {"logs": np.zeros(batch.num_rows), "rare": [[] for _ in range(batch.num_rows)]}
+            row_id, stretches, held = batch.column(0).to_numpy(), [], 0
+            for row, text in enumerate(batch.column(2)):
+                words = words_of(text.as_py())
+                words.append(END)
+                out["n_tokens"][row] = len(words)
+                for k in range(0, len(words), CHUNK):
+                    stretches.append((row, words[k - 1] if k else BEGIN, words[k : k + CHUNK] if len(words) > CHUNK else words))
+                    held += len(stretches[-1][2])
+                    if held > GROUP:
+                        yield filled(judge(stretches, out, row_id, block))
+                        stretches, held, block = [], 0, block + 1
+            if stretches:
+                yield filled(judge(stretches, out, row_id, block))
+                block += 1
+            yield filled(out)
+
+    def judge(stretches: list[tuple[int, bytes, list[bytes]]], out: dict, row_id: np.ndarray, block: int) -> dict:
+        """Add what (row, word before, words) stretches give exactly, every different word looked up once; returns their block."""
+        exact, number_of, ids = known.value, {}, []
         for _, before, words in stretches:
-            ids.append(number.setdefault(before, len(number)))
-            ids += [number.setdefault(w, len(number)) for w in words]
-        ids, kinds_of_words = np.array(ids, np.int64), list(number)
+            ids.append(number_of.setdefault(before, len(number_of)))
+            ids += [number_of.setdefault(w, len(number_of)) for w in words]
+        ids, kinds_of_words = np.array(ids, np.uint32), list(number_of)
         length = np.array([len(words) for *_, words in stretches])
-        head = np.cumsum(length + 1) - length - 1
-        place = np.ones(len(ids), bool)
-        place[head] = False
-        at = np.flatnonzero(place)
-        old, new = ids[at - 1], ids[at]
+        _, new = words_in(ids, length)
         row, start = np.array([r for r, *_ in stretches]), np.cumsum(length) - length
 
         count = np.fromiter((exact.get(w, -1) for w in kinds_of_words), np.int64, len(kinds_of_words))
@@ -330,35 +486,34 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         np.add.at(out["n_known"], row, np.add.reduceat(there[new].astype(np.int64), start))
         seldom = np.flatnonzero(~there[new])
         owner = np.repeat(row, length)[seldom]
-        found, n = np.unique(owner * len(kinds_of_words) + new[seldom], return_counts=True)
+        found, n = np.unique(owner * len(kinds_of_words) + new[seldom].astype(np.int64), return_counts=True)
         for key, times in zip(found.tolist(), n.tolist()):
             out["rare"][key // len(kinds_of_words)].append({"word": kinds_of_words[key % len(kinds_of_words)], "n": times})
 
         hashed = hashes_of(kinds_of_words)
-        ends_at, begins_at = number.get(END), number.get(BEGIN)
-        for edge, value in ((ends_at, END_HASH), (begins_at, BEGIN_HASH)):
+        for edge, value in ((number_of.get(END), END_HASH), (number_of.get(BEGIN), BEGIN_HASH)):
             if edge is not None:
                 hashed[edge] = value
-        often, kinds = single.counts(mixed(hashed ^ TOTAL)), single.counts(mixed(hashed ^ KINDS))
-        for edge in (ends_at, begins_at):
-            if edge is not None:
-                often[edge] = ends
-        plain, total_before, kinds_before = (often[new] + 0.1) / room, often[old], kinds[old]
-        both = np.minimum(pair.counts(pairs_of(hashed[old], hashed[new])), total_before)
-        mixed_share = (both + kinds_before * plain) / np.maximum(total_before + kinds_before, 1e-9)
-        share = np.where((total_before > 0) & (kinds_before > 0), mixed_share, plain)
-        np.add.at(out["score"], row, np.add.reduceat(np.log10(np.minimum(share, 1.0)), start))
-
-    schema = "row_id long, doc_id long, n_tokens long, n_known long, logs double, rare array<struct<word: binary, n: int>>, score double"
-    scored = map_rows(rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), make, schema)
-    scored = scratch.write(scored, "scored")
-    rare = scored.select("row_id", F.inline("rare")).join(counts, "word", "left")
+        return {"block": [block], "hashed": [hashed.tobytes()], "ids": [by_plane(ids)], "length": [length.astype(np.int64).tobytes()], "rows": [row_id[row].tobytes()]}
+
+    split = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(run, schema)
+    split = scratch.write(split, "split")
+    blocks = split.where("block is not null")
+    found = scratch.write(answers(filters, questions(blocks, number)), "answers")
+    scratch.drop(filters)
+    release_shuffles(spark)
+    scores = scratch.write(pair_scores(found, blocks, room, ends), "scores")
+    scratch.drop(found)
+    release_shuffles(spark)
+    rare = split.where("row_id is not null").select("row_id", F.inline("rare")).join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    rare = rare.groupBy("row_id").agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("rare_logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    return scored.drop("rare").join(rare, "row_id", "left").select(
+    rare = rare.select("row_id", (F.col("n") * F.log10(c + 0.1)).alias("logs"), F.when(c > 0, F.col("n")).otherwise(0).cast("long").alias("known"), F.lit(0.0).alias("score"))
+    parts = rare.unionAll(scores.select("row_id", F.lit(0.0), F.lit(0).cast("long"), "score"))
+    parts = parts.groupBy("row_id").agg(F.sum("logs").alias("rare_logs"), F.sum("known").alias("rare_known"), F.sum("score").alias("score"))
+    return split.where("row_id is not null").select("row_id", "doc_id", "n_tokens", "n_known", "logs").join(parts, "row_id").select(
         "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * limit).alias("base_score"), "score",
+        (F.col("n_known") + F.col("rare_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * limit).alias("base_score"), "score",
     )
 
 

@@ -260,6 +260,17 @@ def test_count_filter_never_forgets():
     assert (table.counts(rng.integers(0, 1 << 63, 20000).astype(np.uint64)) > 0).mean() < 0.06
 
 
+def test_full_parts_keep_every_level():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 52, 60000).astype(np.uint64))  # one part, far more than fit one before
+    counts = rng.choice([1, 1, 1, 2, 5, 40], len(keys))
+    levels = lm_score.level_of(counts)
+    found = lm_score.CountFilter([(0, *lm_score.build_part(keys, levels))]).counts(keys)
+    assert (found >= lm_score.count_of(levels) - 1e-9).all()
+    assert (found == lm_score.count_of(levels)).mean() > 0.9
+    assert lm_score.parts_for(0) == lm_score.PARTS and lm_score.parts_for(lm_score.PARTS * lm_score.PART_EVENTS * 3) == 4 * lm_score.PARTS
+
+
 # token ids
 
 
