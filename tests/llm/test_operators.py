@@ -271,6 +271,22 @@ def test_full_parts_keep_every_level():
     assert lm_score.parts_for(0) == lm_score.PARTS and lm_score.parts_for(lm_score.PARTS * lm_score.PART_EVENTS * 3) == 4 * lm_score.PARTS
 
 
+def test_parts_that_come_in_several_batches_keep_all(spark):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 52, 50000).astype(np.uint64))  # one part, all of them seen once
+    split_keys = [keys[k : k + 1000] for k in range(0, len(keys), 1000)]
+    rows = [(0, k.tobytes(), None, np.ones(len(k), np.int64).tobytes()) for k in split_keys]
+    rows += [(0, split_keys[0].tobytes(), None, np.full(len(split_keys[0]), 4, np.int64).tobytes())]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        counts = spark.createDataFrame(rows, "slot long, keys binary, contexts binary, n binary")
+        found = lm_score._parts(counts).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    table = lm_score.CountFilter([(r.slot, r.lowest, r.bits) for r in found])
+    assert len(found) == 1 and (table.counts(keys) >= 1).all() and (table.counts(split_keys[0]) >= lm_score.count_of(np.array([3]))).all()
+
+
 # token ids
 
 
