@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpusweave.llm.common import Scratch, map_rows, table
 from corpusweave.llm.url_cascade import host_and_path
 
-#: Weight of the layout's entropy against the content's; a branch below LOW on SEEN different pages or more goes.
-LAYOUT_WEIGHT, LOW, SEEN = 0.1, 0.25, 3
+#: Weight of the layout's entropy against the content's; on SEEN different pages or more a branch below LOW goes, one from HIGH on stays.
+LAYOUT_WEIGHT, LOW, HIGH, SEEN = 0.1, 0.25, 0.75, 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
 BLOCK = frozenset(
@@ -137,15 +137,15 @@ def signed(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
+def main_text(page: str | None, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset()) -> str:
     """Blocks worth keeping, one to a line.
 
-    Blocks under a name for chrome have no importance, blocks in an article all. Where a page has no article, what its host
-    repeats (``low``, branches of low importance) goes and the rest stays.
+    Blocks under a name for chrome have no importance. Of the others goes what the host repeats (``low``, branches of low
+    importance), in an article too. Where a page has an article, what stands outside stays if its branch is of ``high`` importance.
     """
     own = blocks(page or "")
     has_main = any(b.main and not b.chrome for b in own)
-    return "\n".join(b.text for b in own if not b.chrome and (b.main if has_main else low.isdisjoint(b.path)))
+    return "\n".join(b.text for b in own if not b.chrome and low.isdisjoint(b.path) and (b.main or not has_main or b.path[-1:] and b.path[-1] in high))
 
 
 def branches(page: str | None) -> tuple[int, dict[int, tuple[int, int]]]:
@@ -195,12 +195,13 @@ def extract(pages: DataFrame) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "style-tree")
     host, _ = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    low = branch_importance(rows).where((F.col("seen") >= SEEN) & (F.col("importance") < LOW))
-    low = scratch.write(low.groupBy("host").agg(F.collect_set("branch").alias("low")), "low")
-    both = rows.join(low, "host", "left").select("page_id", "url", "html", "low")
+    known = branch_importance(rows).where((F.col("seen") >= SEEN) & ((F.col("importance") < LOW) | (F.col("importance") >= HIGH)))
+    low = F.collect_set(F.when(F.col("importance") < LOW, F.col("branch"))).alias("low")
+    known = scratch.write(known.groupBy("host").agg(low, F.collect_set(F.when(F.col("importance") >= HIGH, F.col("branch"))).alias("high")), "known")
+    both = rows.join(known, "host", "left").select("page_id", "url", "html", "low", "high")
 
     def make(batch: pa.RecordBatch) -> dict:
-        texts = [main_text(page.as_py(), frozenset(gone.as_py() or ())) for page, gone in zip(batch.column(2), batch.column(3))]
+        texts = [main_text(page.as_py(), *(frozenset(b.as_py() or ()) for b in sets)) for page, *sets in zip(*batch.columns[2:])]
         return {"page_id": batch.column(0), "url": batch.column(1), "text": texts}
 
     return map_rows(both, make, "page_id long, url string, text string")

@@ -490,6 +490,12 @@ def test_decontamination(spark, odd_docs, odd_rows, no_docs, monkeypatch):
 # pages
 
 
+def test_trees_decide_inside_and_outside_articles(spark):
+    page = "<body><div class='story'><p>Story %d</p></div><div class='box'>Same box</div><article><p>Own text %d</p><div class='line'>Tell your friends</div></article></body>"
+    pages = spark.createDataFrame([(i, f"http://h.example.net/{i}", page % (i, i)) for i in range(6)], "page_id long, url string, html string")
+    assert {(r.page_id, r.text) for r in style_tree.extract(pages).collect()} == {(i, f"Story {i}\nOwn text {i}") for i in range(6)}
+
+
 def test_pages(spark, sf):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body class='x'><nav><ul><li>Menu</ul></nav><header>Top</header>"
