@@ -16,7 +16,7 @@ from corpusweave.llm.url_cascade import host_and_path
 #: Weight of the layout's entropy against the content's; on SEEN different pages or more a branch below LOW goes, one from HIGH on stays.
 LAYOUT_WEIGHT, LOW, HIGH, SEEN = 0.1, 0.25, 0.75, 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
+RAW = frozenset("script style textarea title iframe template svg object".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -32,6 +32,8 @@ CHROME_NAMES = frozenset(
     "promoted related replies search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
 MAIN_NAMES = frozenset("article main".split())
+#: A name of several words speaks by its last one, and never of these elements.
+OPEN_TAGS = frozenset("html body article main".split())
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"'<]*+(?:\"[^\"<]*+\"[^>\"'<]*+|'[^'<]*+'[^>\"'<]*+)*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
@@ -48,6 +50,8 @@ class Block(NamedTuple):
     path: tuple[int, ...]
     chrome: bool
     main: bool
+    named: tuple[tuple[int, int, bool], ...]
+    title: bool
 
 
 class Element(NamedTuple):
@@ -55,6 +59,9 @@ class Element(NamedTuple):
     path: tuple[int, ...]
     chrome: bool
     main: bool
+    #: The elements around whose names say chrome: (place, branch, whether the name is a whole one).
+    named: tuple[tuple[int, int, bool], ...] = ()
+    title: bool = False
 
 
 def blocks(page: str) -> list[Block]:
@@ -74,7 +81,7 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
             if text:
                 top = stack[-1]
-                found.append(Block(text, top.path, top.chrome, top.main))
+                found.append(Block(text, top.path, top.chrome, top.main, top.named, top.title))
 
     while found_tag := MARKUP.search(page, at):
         if found_tag.start() > at:
@@ -109,13 +116,14 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[depth].tag in HOLDERS:
                     break
-            stack.append(child(stack[-1], tag, attributes))
+            stack.append(child(stack[-1], tag, attributes, at))
         else:
             top = stack[-1]
-            named = child(top, tag, attributes) if NAMES.search(attributes) or tag in CHROME_TAGS or HIDDEN.search(attributes) else top
-            if named.chrome and not top.chrome:
+            named = child(top, tag, attributes, at) if NAMES.search(attributes) or tag in CHROME_TAGS or HIDDEN.search(attributes) else top
+            said = named.chrome or bool(named.named)
+            if said and not (top.chrome or top.named):
                 close_block()
-            stack.append(named._replace(tag=tag, path=top.path) if not named.chrome else named)
+            stack.append(named if said else named._replace(tag=tag, path=top.path))
         if len(stack) > 3000:  # absurd nesting: deeper elements stand where their holder stands
             stack[-2:] = [stack[-1]._replace(path=stack[-2].path)]
     parts.append(page[at:])
@@ -123,14 +131,20 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def child(parent: Element, tag: str, attributes: str) -> Element:
-    names = {n for m in NAMES.finditer(attributes) for n in re.split(r"[^a-z0-9]+", next(g for g in m.groups() if g is not None).lower())}
+def child(parent: Element, tag: str, attributes: str, at: int) -> Element:
+    whole = {n for m in NAMES.finditer(attributes) for n in next(g for g in m.groups() if g is not None).lower().split()}
+    cut = [re.split(r"[^a-z0-9]+", n) for n in whole]
+    names = {n for parts in cut for n in parts}
     header = tag == "header" and not parent.main
-    chrome = parent.chrome or tag in CHROME_TAGS or header or bool(names & CHROME_NAMES) or bool(HIDDEN.search(attributes))
+    chrome = parent.chrome or tag in CHROME_TAGS or header or bool(HIDDEN.search(attributes))
     main = parent.main or tag in MAIN_NAMES or "main" in names
     style = f"{tag}.{'.'.join(sorted(n for n in names if n and not n.isdigit()))}"
     last = parent.path[-1] if parent.path else 0
-    return Element(tag, (*parent.path[-40:], signed(f"{last} {style}")), chrome, main)
+    path, named = (*parent.path[-40:], signed(f"{last} {style}")), parent.named
+    plain = bool(whole & CHROME_NAMES) and tag not in ("html", "body", "main")
+    if plain or tag not in OPEN_TAGS and any(parts[-1] in CHROME_NAMES for parts in cut):
+        named = (*named[-40:], (at, path[-1], plain))
+    return Element(tag, path, chrome, main, named, parent.title or tag == "h1")
 
 
 def signed(text: str) -> int:
@@ -140,12 +154,18 @@ def signed(text: str) -> int:
 def main_text(page: str | None, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset()) -> str:
     """Blocks worth keeping, one to a line.
 
-    Blocks under a name for chrome have no importance. Of the others goes what the host repeats (``low``, branches of low
-    importance), in an article too. Where a page has an article, what stands outside stays if its branch is of ``high`` importance.
+    A block goes if its element is one for chrome, if the host repeats a branch it is under (``low``, of low importance), or if
+    a name around it says chrome. A name is overruled where it surrounds all of the page's article or a heading of the
+    first rank, and one of several words where its branch is of ``high`` importance. Where a page has an article, what stands
+    outside stays if its branch is of ``high`` importance.
     """
-    own = blocks(page or "")
-    has_main = any(b.main and not b.chrome for b in own)
-    return "\n".join(b.text for b in own if not b.chrome and low.isdisjoint(b.path) and (b.main or not has_main or b.path[-1:] and b.path[-1] in high))
+    own = [b for b in blocks(page or "") if not b.chrome]
+    around = [{n[0] for n in b.named} for b in own if b.main]
+    wrappers = set.intersection(*around) if around else set()
+    wrappers |= {n[0] for b in own if b.title for n in b.named if not n[2]}
+    own = [b for b in own if all(at in wrappers or not plain and branch in high for at, branch, plain in b.named)]
+    has_main = any(b.main for b in own)
+    return "\n".join(b.text for b in own if low.isdisjoint(b.path) and (b.main or not has_main or b.path[-1:] and b.path[-1] in high))
 
 
 def branches(page: str | None) -> tuple[int, dict[int, tuple[int, int]]]:

@@ -496,6 +496,18 @@ def test_trees_decide_inside_and_outside_articles(spark):
     assert {(r.page_id, r.text) for r in style_tree.extract(pages).collect()} == {(i, f"Story {i}\nOwn text {i}") for i in range(6)}
 
 
+def test_names_alone_do_not_empty_a_page(spark):
+    text = style_tree.main_text
+    for start in ("<body class='page has-sidebar'><article>", "<body class='no-sidebar comments-open'><div>", "<div class='layout-sidebar'><article>", "<article class='post search-result'>"):
+        assert text(start + "<p>Words") == "Words", start
+    assert text("<article><div class='post-header'><h1>Title</h1></div><p>Words</article>") == "Title\nWords"
+    assert text("<article><p>Let <math><mi>x</mi></math> be<noscript><p>Plain</noscript></article>") == "Let x be\nPlain"
+    assert text("<article><p>Words</p><div class='comments'>Me too</div><div class='sidebar'>Side</div></article>") == "Words"
+    page = "<article><p>Own text %d</p><div class='tip-widget'>Tip %d</div><div class='same-widget'>Same</div></article>"
+    pages = spark.createDataFrame([(i, f"http://h.example.net/{i}", page % (i, i)) for i in range(6)], "page_id long, url string, html string")
+    assert {(r.page_id, r.text) for r in style_tree.extract(pages).collect()} == {(i, f"Own text {i}\nTip {i}") for i in range(6)}
+
+
 def test_pages(spark, sf):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body class='x'><nav><ul><li>Menu</ul></nav><header>Top</header>"
