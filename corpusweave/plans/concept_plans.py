@@ -9,7 +9,7 @@ from corpusweave.operators import concepts as Co, lexical as L, phrases as P, qu
 from corpusweave.operators.ordering import top_k
 from corpusweave.plans import sqlkit as S
 from corpusweave.plans.lexical_plans import BM25, GOLD, pages, questions
-from corpusweave.plans.question_plans import derived
+from corpusweave.plans.question_plans import derived, written
 from corpusweave.plans.registry import ORACLE, query
 
 
@@ -20,18 +20,22 @@ def _titles(t):
 WORDS = "list_distinct(list_filter(string_split(lower(replace({x}, '/', ' ')), ' '), lambda w: length(w) > 0 AND NOT list_contains(" + S.quoted(Co.CONCEPT_STOP_WORDS) + ", w)))"
 
 
-def concept_rows(t):
-    parts = bind(derived(t), cs=Qn.comparison_concepts(F.col("question"))).filter(F.size("cs") >= 2)
+def concept_rows(asked):
+    parts = bind(asked, cs=Qn.comparison_concepts(F.col("question"))).filter(F.size("cs") >= 2)
     rows = parts.select("conv_id", "turn", "cs", F.posexplode("cs").alias("concept_no", "concept"))
     others = F.array_join(F.filter("cs", lambda x, i: i != F.col("concept_no")), " ")
     return rows.select("conv_id", "turn", "concept_no", "concept", others.alias("others"))
 
 
+def _topics(t, asked):
+    titles = _titles(t).select(F.col("doc_id").alias("topic_id"), "title")
+    return Co.topics_for_concepts(concept_rows(asked), titles, ["conv_id", "turn"])
+
+
 @query("concept_topics")
 def concept_topics(t):
     """Best document title for every concept of the derived comparison questions."""
-    titles = _titles(t).select(F.col("doc_id").alias("topic_id"), "title")
-    return Co.topics_for_concepts(concept_rows(t), titles, ["conv_id", "turn"])
+    return _topics(t, derived(t))
 
 
 # The concepts come from the SQL of the comparison query, so both engines score the same phrases.
@@ -45,6 +49,12 @@ sc AS (SELECT conv_id, turn, concept_no, concept, topic_id, 10 * len(list_filter
 SELECT conv_id, turn, concept_no, concept, topic_id, own + shared + rest AS score FROM sc WHERE own > 0 OR shared > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn, concept_no ORDER BY own + shared + rest DESC, topic_id) = 1"""
 
 
+@query("written_concept_topics", ORACLE["concept_topics"].replace(ORACLE["comparison_concepts"], ORACLE["written_concepts"]))
+def written_concept_topics(t):
+    """Best document title for every concept that whole messages and questions compare."""
+    return _topics(t, written(t))
+
+
 @query(
     "title_match",
     f"""{BM25}, {GOLD}, top AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 5),

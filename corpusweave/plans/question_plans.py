@@ -9,7 +9,7 @@ from corpusweave.functions import text as T
 from corpusweave.functions.binding import bind
 from corpusweave.operators import question_rules as Q, questions as Qn
 from corpusweave.plans import sqlkit as S
-from corpusweave.plans.registry import query
+from corpusweave.plans.registry import ORACLE, query
 
 # Every user message becomes one question about its own first two content words.
 TEMPLATES = (
@@ -147,12 +147,14 @@ def comparison_concepts(t):
 
 @query("title_subsequence")
 def title_subsequence(t):
-    """Ordered overlap of each document's title terms with the terms of its next line."""
-    lines = bind(t.documents.select("doc_id", "text"), ls=T.lines(F.col("text")))
-    pairs = bind(lines.filter(F.size("ls") > 1), title=T.terms(F.get("ls", 0)), body=T.terms(F.get("ls", 1)))
+    """Ordered overlap of each document's title terms with the terms of every later line; without one, a row with no line."""
+    lines = bind(t.documents.select("doc_id", "text"), ls=T.lines(F.coalesce("text", F.lit(""))))
+    titles = bind(lines, title=T.terms(F.coalesce(F.get("ls", 0), F.lit(""))))
+    later = titles.select("doc_id", "title", F.posexplode_outer(F.slice("ls", 2, F.greatest(F.size("ls") - 1, F.lit(0)))).alias("at", "later"))
+    pairs = bind(later, body=T.terms(F.coalesce("later", F.lit(""))))
     lcs = bind(pairs, overlap=Qn.common_subsequence(F.col("title"), F.col("body")))
     return lcs.select(
-        "doc_id", F.size("title").alias("title_terms"), "overlap",
+        "doc_id", (F.col("at") + 2).alias("line"), F.size("title").alias("title_terms"), "overlap",
         ((F.col("overlap") >= 3) & (F.col("overlap") >= F.ceil(0.75 * F.size("title")))).alias("matches"),
     )
 
@@ -244,3 +246,24 @@ def written_needs(t):
 def written_normalisation(t):
     """Whole messages and questions without instructions, with aliases, and whether they are valid."""
     return _normalisation(written(t))
+
+
+def written_turns(t):
+    """The users' turns as they stand; benchmark questions belong to no conversation, so they are nobody's anchor."""
+    return t.conversations.filter("role = 'user'").select("conv_id", "turn", "role", "text")
+
+
+WRITTEN_FOLLOWED = "WITH msg AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),\n" + FOLLOWED[FOLLOWED.index("nm AS") :]
+
+
+@query("written_followup_categories")
+def written_followup_categories(t):
+    """Kind of follow-up and step pointed at, of whole messages and questions."""
+    q = F.col("text")
+    return written(t).select("conv_id", "turn", Qn.followup_category(q).alias("category"), Qn.ordinal_target(q).alias("ordinal"))
+
+
+@query("written_followup_resolution", ORACLE["followup_resolution"].replace(FOLLOWED, WRITTEN_FOLLOWED))
+def written_followup_resolution(t):
+    """Anchors and queries of the turns that users wrote."""
+    return Qn.resolve_followups(written_turns(t)).select("conv_id", "turn", "category", "anchor", "form", "query")

@@ -330,3 +330,20 @@ def test_identity_ladder_keeps_one_row_a_card(spark):
     seen = make([("p", "g"), ("p", "h"), ("p", "i")], "page_id string, other_guide string")
     found = I.identity_ladder(cards, toc, verified, moved, seen).collect()
     assert [(r.source_id, r.status) for r in found] == [(1, "conflicting_identity")]
+
+
+def test_written_turns_and_all_lines(spark):
+    from types import SimpleNamespace
+
+    from corpusweave.plans import question_plans as plans
+
+    said = [(1, 1, "user", "How do I create a purchase order?"), (1, 2, "assistant", "So."), (1, 3, "user", "Tell me more"), (2, 1, "user", "Tell me more")]
+    t = SimpleNamespace(
+        conversations=spark.createDataFrame(said, "conv_id long, turn long, role string, text string"),
+        benchmark=spark.createDataFrame([(2, "What is a ledger?")], "item_id long, text string"),
+        documents=spark.createDataFrame([(1, "red green blue stones\nnothing here\nred green blue stones again"), (2, "one line")], "doc_id long, text string"),
+    )
+    found = {(r.conv_id, r.turn): r for r in plans.written_followup_resolution(t).collect()}
+    assert found[1, 3].category == "elaborate" and found[1, 3].anchor == said[0][3] and found[2, 1].anchor is None
+    assert {(r.conv_id, r.turn) for r in plans.written_followup_categories(t).collect() if r.category} == {(1, 3), (2, 1)}
+    assert {(r.doc_id, r.line, r.matches) for r in plans.title_subsequence(t).collect()} == {(1, 2, False), (1, 3, True), (2, None, False)}
