@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from corpusweave.llm import (
-    chat_template, decontaminate, line_runs, lm_score, mixing, quality_forest, simhash, style_tree, token_store, url_cascade,
+    chat_template, decontaminate, line_runs, lm_score, max_sketch, mixing, piece_table, pivot_codes, quality_forest, simhash,
+    style_tree, token_store, url_cascade,
 )
 from corpusweave.llm.common import table
 
@@ -18,10 +19,15 @@ QUERIES = {
     "op8_chat_format": chat_template.chat_format,
     "op9_decontaminate": decontaminate.decontaminate,
     "op10_html_extract": style_tree.html_extract,
+    "op11_sentencepiece": piece_table.sentencepiece,
+    "op12_vector_codes": pivot_codes.vector_codes,
+    "op13_ranked_search": max_sketch.ranked_search,
 }
 ORACLE = {
     "op2_line_dedup": line_runs.ORACLE,
     "op6_url_filter": url_cascade.oracle(),
     "op8_chat_format": chat_template.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op12_vector_codes": pivot_codes.ORACLE,
+    "op13_ranked_search": max_sketch.ORACLE,
 }
