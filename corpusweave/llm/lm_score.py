@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterable
 
@@ -17,8 +18,10 @@ from corpusweave.llm.common import Scratch, as_array, release_shuffles, table, w
 FREQUENT, LONGEST = 1 << 18, 64
 #: The least number of a filter's parts, the counted events for which there is one more, bits for an entry and probes.
 PARTS, PART_EVENTS, BITS, PROBES = 4096, 1 << 18, 8, 4
+#: Different words a task counts at once.
+COUNTED = 1 << 18
 #: Events counted together before they leave a task, words of a stretch of text, words whose n-grams are asked for together.
-EVENTS, CHUNK, GROUP = 1 << 22, 1 << 17, 1 << 20
+EVENTS, CHUNK, GROUP = 1 << 20, 1 << 17, 1 << 18
 #: The end of a text counts as an empty word; the word before the first is one that no text has.
 END, BEGIN = b"", b" "
 BEGIN_HASH, END_HASH = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -144,7 +147,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             for text in batch.column(0):
                 seen.update(words_of(text.as_py()))
                 seen[END] += 1
-                if len(seen) > EVENTS // 16:
+                    if len(seen) > COUNTED:
                     yield flushed(seen)
         yield flushed(seen)
 
@@ -338,6 +341,20 @@ def words_in(ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ids[at - 1], ids[at]
 
 
+class Stretches:
+    """Words of several stretches of text as numbers, each stretch after the word before it."""
+
+    def __init__(self):
+        self.number_of, self.ids, self.lengths, self.rows = {}, array("I"), [], []
+
+    def add(self, row: int, before: bytes, words: list[bytes]) -> None:
+        number = self.number_of
+        self.ids.append(number.setdefault(before, len(number)))
+        self.ids.extend([number.setdefault(w, len(number)) for w in words])
+        self.lengths.append(len(words))
+        self.rows.append(row)
+
+
 def asked_of(hashed: np.ndarray, old: np.ndarray, new: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """(sorted keys, where each came first, which key each place has) of the pairs and of the words' two counts."""
     pairs = np.unique(pairs_of(hashed[old], hashed[new]), return_index=True, return_inverse=True)
@@ -452,32 +469,27 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = {"row_id": batch.column(0), "doc_id": batch.column(1), "n_tokens": np.zeros(batch.num_rows, np.int64), "n_known": np.zeros(batch.num_rows, np.int64)}
             out |= {"logs": np.zeros(batch.num_rows), "rare": [[] for _ in range(batch.num_rows)]}
-            row_id, stretches, held = batch.column(0).to_numpy(), [], 0
+            row_id, held = batch.column(0).to_numpy(), Stretches()
             for row, text in enumerate(batch.column(2)):
                 words = words_of(text.as_py())
                 words.append(END)
                 out["n_tokens"][row] = len(words)
                 for k in range(0, len(words), CHUNK):
-                    stretches.append((row, words[k - 1] if k else BEGIN, words[k : k + CHUNK] if len(words) > CHUNK else words))
-                    held += len(stretches[-1][2])
-                    if held > GROUP:
-                        yield filled(judge(stretches, out, row_id, block))
-                        stretches, held, block = [], 0, block + 1
-            if stretches:
-                yield filled(judge(stretches, out, row_id, block))
+                    held.add(row, words[k - 1] if k else BEGIN, words[k : k + CHUNK] if len(words) > CHUNK else words)
+                    if len(held.ids) > GROUP:
+                        yield filled(judge(held, out, row_id, block))
+                        held, block = Stretches(), block + 1
+            if held.rows:
+                yield filled(judge(held, out, row_id, block))
                 block += 1
             yield filled(out)
 
-    def judge(stretches: list[tuple[int, bytes, list[bytes]]], out: dict, row_id: np.ndarray, block: int) -> dict:
-        """Add what (row, word before, words) stretches give exactly, every different word looked up once; returns their block."""
-        exact, number_of, ids = known.value, {}, []
-        for _, before, words in stretches:
-            ids.append(number_of.setdefault(before, len(number_of)))
-            ids += [number_of.setdefault(w, len(number_of)) for w in words]
-        ids, kinds_of_words = np.array(ids, np.uint32), list(number_of)
-        length = np.array([len(words) for *_, words in stretches])
+    def judge(held: Stretches, out: dict, row_id: np.ndarray, block: int) -> dict:
+        """Add what stretches of words give exactly, every different word looked up once; returns their block."""
+        exact, number_of, kinds_of_words = known.value, held.number_of, list(held.number_of)
+        ids, length, row = np.array(held.ids, np.uint32), np.array(held.lengths), np.array(held.rows)
         _, new = words_in(ids, length)
-        row, start = np.array([r for r, *_ in stretches]), np.cumsum(length) - length
+        start = np.cumsum(length) - length
 
         count = np.fromiter((exact.get(w, -1) for w in kinds_of_words), np.int64, len(kinds_of_words))
         there = count >= 0
