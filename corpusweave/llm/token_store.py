@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusweave.llm.common import Scratch, table
 
-#: Ids of a shard, compression rounds, the least share of a shard's pairs a rule must stand for, cached pieces.
-SHARD_IDS, ROUNDS, RULE_SHARE, CACHED = 1 << 20, 4, 1 / 8_000, 250_000
-SLOTS = 1 << 18
+#: Ids of a shard, the least share of a shard's pairs a rule must stand for, pieces in the newer half of the cache.
+SHARD_IDS, RULE_SHARE, CACHED = 1 << 20, 1 / 12_000, 800_000
+#: Pairs are sorted out roughly by this many hash slots before those that may be frequent are counted one by one.
+SLOTS = 1 << 20
 END = 0
 MAGIC = b"IDG1"
 HEADER = struct.Struct("<4sIIIII")
@@ -27,13 +28,16 @@ class Encoder:
 
     A text is cut before every blank that follows something other than white space. No token spans such a
     place, so a piece's ids do not depend on its neighbours, and pieces seen before are looked up. Texts
-    with a special token's string or a zero byte are encoded whole.
+    with a special token's string or a zero byte are encoded whole. Single pieces go to the model as it stands, so the
+    tokenizer must have no normalizer and cut texts at least where a byte-level one does.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        if self.whole.normalizer is not None or type(self.whole.pre_tokenizer).__name__ != "ByteLevel":
+            raise ValueError("only byte-level tokenizers without a normalizer are cut into pieces")
         self.model, self.pieces, self.before = self.whole.model, Pieces(self.piece), {}
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.split = self.whole.pre_tokenizer.pre_tokenize_str
@@ -77,6 +81,16 @@ class Encoder:
         return ids
 
 
+#: One encoder for each tokenizer in a Python worker: its pieces are known to the tasks that come after.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class Pieces(dict):
     """Ids of pieces; one that is asked for first is encoded."""
 
@@ -101,11 +115,27 @@ def joined(parts: list[str]) -> list[str]:
     return out
 
 
+def frequent_pairs(seq: np.ndarray, at: np.ndarray, often: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs that begin at places ``at``: where those begin that occur ``often`` or more times, these pairs, and which is where.
+
+    Hash slots that are not met often cannot hold a frequent pair; the pairs of the others are counted exactly.
+    """
+    keys = (seq[at] << 32) | seq[at + 1]
+    slot = ((keys * -7046029254386353131) >> 44) & (SLOTS - 1)
+    maybe = (np.bincount(slot, minlength=SLOTS) >= often).take(slot)
+    at, keys = at[maybe], keys[maybe]
+    pairs, number, count = np.unique(keys, return_inverse=True, return_counts=True)
+    frequent = count >= often
+    place = np.cumsum(frequent) - 1
+    hit = frequent[number]
+    return at[hit], pairs[frequent], place[number[hit]]
+
+
 def compress(ids: np.ndarray, starts: np.ndarray) -> bytes:
     """A shard: rules (left, right, expansion length), where each document begins among the symbols, symbols.
 
-    Round by round, pairs that occur often are replaced by new symbols from left to right; a pair never spans two
-    documents, so each document can be expanded on its own. ``starts`` are the documents' first positions.
+    Round by round, all pairs that occur often are replaced by new symbols from left to right, until no pair is left that does. A pair
+    never spans two documents, so each document can be expanded on its own. ``starts`` are the documents' first positions.
     """
     base = int(ids.max()) + 1 if len(ids) else 1
     seq, first = ids.astype(np.int64), np.zeros(len(ids) + 1, bool)
@@ -113,34 +143,25 @@ def compress(ids: np.ndarray, starts: np.ndarray) -> bytes:
     first[-1] = True
     left, right, length = [], [], []
     lengths = np.ones(base, np.int64)
-    for _ in range(ROUNDS):
-        keys = (seq[:-1] << 32) | seq[1:]
-        slot = ((keys * -7046029254386353131) >> 46) & (SLOTS - 1)
-        slot[first[1:-1]] = SLOTS
-        often = max(4, int(len(seq) * RULE_SHARE))
-        tally = np.bincount(slot, minlength=SLOTS + 1)
-        tally[SLOTS] = 0
-        chosen = np.flatnonzero(tally >= often)
-        if not len(chosen):
+    often, at = max(4, int(len(ids) * RULE_SHARE)), np.arange(max(0, len(seq) - 1))
+    while True:
+        at, pairs, number = frequent_pairs(seq, at[~first[at + 1]], often)
+        if not len(pairs):
             break
-        at = np.flatnonzero((tally >= often).take(slot))
-        own = slot[at]
-        pair_of = np.zeros(SLOTS + 1, np.int64)
-        pair_of[own[::-1]] = keys[at[::-1]]  # of pairs that share a slot the first stands for it
-        hit = pair_of[own] == keys[at]
-        number = np.zeros(SLOTS + 1, np.int64)
-        number[chosen] = np.arange(len(chosen))
-        at, where, pairs = at[hit], number[own[hit]], pair_of[chosen]
         run = np.concatenate([[True], np.diff(at) > 1])  # neighbouring pairs overlap: every other one of a run is replaced
         begin = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
         turn = (at - begin) % 2 == 0
-        seq[at[turn]] = base + len(left) + where[turn]
+        fresh = base + len(left)
+        seq[at[turn]] = fresh + number[turn]
         lengths = np.concatenate([lengths, lengths[pairs >> 32] + lengths[pairs & 0xFFFFFFFF]])
         left += (pairs >> 32).tolist()
         right += (pairs & 0xFFFFFFFF).tolist()
         stay = np.ones(len(seq), bool)
         stay[at[turn] + 1] = False
         seq, first = seq[stay], np.concatenate([first[:-1][stay], [True]])
+        # every place of a replaced pair is gone, so only pairs with a new symbol can be frequent now
+        new = seq >= fresh
+        at = np.flatnonzero(new[:-1] | new[1:])
     wide = base + len(left) > 1 << 16
     offsets = np.flatnonzero(first)
     head = HEADER.pack(MAGIC, base, len(left), len(offsets) - 1, len(seq), wide)
@@ -201,7 +222,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, shard = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, shard = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         held, doc_ids, size = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
