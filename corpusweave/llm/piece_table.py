@@ -86,15 +86,23 @@ def unpacked_words(data: bytes) -> list[str]:
     return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([4 * (n + 1), *ends], ends)]
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """All low bytes, then all second bytes and so on: the upper ones say little and take little room."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def packed(lists: list[list[int]]) -> bytes:
     """Lists of ids one after another: their number, their lengths, the ids."""
-    lengths = np.fromiter(map(len, lists), "<u4", len(lists))
-    flat = np.fromiter((i for ids in lists for i in ids), "<u4", int(lengths.sum()))
-    return zstandard.compress(np.uint32(len(lists)).tobytes() + lengths.tobytes() + flat.tobytes())
+    lengths = list(map(len, lists))
+    return planes(np.array([len(lists), *lengths, *(i for ids in lists for i in ids)], np.uint32))
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zstandard.decompress(data), "<u4")
+    raw = from_planes(data)
     n = int(raw[0])
     return raw[1 : n + 1], raw[n + 1 :]
 
@@ -170,8 +178,7 @@ def blocks(docs: DataFrame, head: Named) -> DataFrame:
 
         def row():
             numbers = np.frombuffer(words, np.uint32)
-            planes = (numbers & 0xFFFF).astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes()
-            values = (f"{context.partitionId()}-{number}", doc_ids, sizes, zstandard.compress(planes, 6), packed_words(list(own)), len(own))
+            values = (f"{context.partitionId()}-{number}", doc_ids, sizes, planes(numbers), packed_words(list(own)), len(own))
             kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64())
             names = ("block", "doc_ids", "sizes", "words", "others", "n_others")
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
@@ -233,9 +240,11 @@ def segmented(dealt: DataFrame, buckets: int, model: str) -> DataFrame:
     return asked.mapInArrow(answer, "block string, bucket int, ids binary")
 
 
-def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, decoded: bool = False) -> DataFrame:
     """``doc_id, ids`` (array of int) of every row of ``docs`` (``doc_id``, ``text``), as the library encodes whole texts.
 
+    With ``decoded`` there is a column ``text`` as well: what the library decodes from the ids, in the same pass.
+
     No piece of the model crosses a marker or a line end (``check_model`` raises for models where one does), so every text is
     a sequence of marked words that can be segmented alone. The most frequent words are segmented once and sent to all tasks, a
     bounded table; every other different word goes to a bucket, is segmented there once, and its ids come back to the blocks of
@@ -256,6 +265,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_lengths, head_flat = unpacked(head_ids.value)
+        decoder = Segmenter(model).model if decoded else None
         for batch in batches:
             for doc_ids, sizes, data, other, answers in zip(*(batch.column(n) for n in ("doc_ids", "sizes", "words", "others", "answers"))):
                 order: dict[int, list[int]] = {}
@@ -272,8 +282,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
                     lengths[where] = size
                     starts[where] = at + np.cumsum(size, dtype=np.int64) - size
                     at += len(own)
-                planes = np.frombuffer(zstandard.decompress(data.as_py()), "<u2").reshape(2, -1)
-                numbers = planes[0].astype(np.int64) | planes[1].astype(np.int64) << 16
+                numbers = from_planes(data.as_py()).astype(np.int64)
                 ends = np.cumsum(sizes.values.to_numpy())
                 for a in range(0, len(ends), 256):
                     b = min(a + 256, len(ends))
@@ -283,9 +292,12 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
                     got = flat[np.repeat(starts[mine] - total[:-1], size) + np.arange(total[-1])]
                     offsets = np.concatenate([[0], total[ends[a:b] - (ends[a - 1] if a else 0)]])
                     column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([doc_ids.values[a:b], column], ["doc_id", "ids"])
+                    columns = {"doc_id": doc_ids.values[a:b], "ids": column}
+                    if decoder is not None:
+                        columns["text"] = pa.array([decoder.decode(got[x:y].tolist()) for x, y in zip(offsets[:-1], offsets[1:])], pa.string())
+                    yield pa.RecordBatch.from_pydict(columns)
 
-    return both.mapInArrow(run, "doc_id long, ids array<int>")
+    return both.mapInArrow(run, "doc_id long, ids array<int>" + (", text string" if decoded else ""))
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
@@ -306,7 +318,7 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    both = decode(encode(table(spark, folder, "documents")))
+    both = encode(table(spark, folder, "documents"), decoded=True)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.sha2(F.col("text"), 256).alias("decoded_sha256"),
