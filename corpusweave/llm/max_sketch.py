@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusweave.llm.common import CAPITALS, SMALL, Scratch, table
 
-#: Best documents of an item; cells of a sketch for each different term; an impact of one level; candidates of a round
-#: grow by this factor.
-TOP, CELLS, LEVEL, GROWTH = 10, 4, 4_000, 16
-#: Items and different terms of a block, different terms a task counts at once, cells of sketches a task looks at together.
-BLOCK_ITEMS, BLOCK_TERMS, COUNTED, TOGETHER = 1024, 1 << 18, 1 << 19, 1 << 22
-#: Candidate texts (16-byte keys and item numbers) up to which they are broadcast; above, texts are shuffled to them.
-BROADCAST_TEXTS = 50_000
+#: Best documents of an item, cells of a sketch for each different term (or up to twice as many), an impact of one level.
+TOP, CELLS, LEVEL = 10, 16, 4_000
+#: Items and different terms of a block, different terms a task counts at once.
+BLOCK_ITEMS, BLOCK_TERMS, COUNTED = 1024, 1 << 18, 1 << 19
+#: Cells of sketches a task holds together, lookups it makes at once.
+TOGETHER, LOOKUPS = 1 << 23, 1 << 21
 #: Every byte that is no ASCII letter or digit separates; bytes of other characters belong to terms.
 TERMS = bytes.maketrans(
     bytes(range(128)), bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(128))
@@ -32,11 +33,6 @@ def terms_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(TERMS).split()
 
 
-def keys() -> list[Column]:
-    """Two independent hashes that stand for a text."""
-    return [F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(1), "text").alias("key_b")]
-
-
 def length_factor(n: int, documents: int, total: int) -> int:
     return 100 - 75 + 75 * n * documents // total
 
@@ -51,15 +47,12 @@ def weight(documents: int, df: int) -> int:
 
 @dataclass
 class Index:
-    """What a search reads: ``documents`` and ``total`` (N and L), ``dictionary`` (term, df), ``sketches`` of different texts, the first
-    ``TOP`` documents of each text (``copies``), and the texts themselves."""
+    """What a search reads: ``documents`` and ``total`` (N and L), ``dictionary`` (term, df), ``sketches`` (doc_id, text, sketch)."""
 
     documents: int
     total: int
     dictionary: DataFrame
     sketches: DataFrame
-    copies: DataFrame
-    texts: DataFrame
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
@@ -99,7 +92,7 @@ def sketch(counts: Counter, m: int) -> bytes:
 
 
 def build_index(docs: DataFrame) -> Index:
-    """The index of ``docs`` (``doc_id``, ``text``). Copies of a text share a sketch; a null text has no terms and is never found."""
+    """The index of ``docs`` (``doc_id``, ``text``); a document without terms has no sketch and is never found."""
     scratch = Scratch(docs.sparkSession, "sketches")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dictionary = scratch.write(count_terms(rows), "dictionary")
@@ -108,144 +101,98 @@ def build_index(docs: DataFrame) -> Index:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for text in batch.column(2):
+            for text in batch.column(1):
                 terms = terms_of(text.as_py())
-                made.append(sketch(Counter(terms), length_factor(len(terms), documents, total)) if terms else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], ["key_a", "key_b", "sketch"])
+                made.append(zstandard.compress(sketch(Counter(terms), length_factor(len(terms), documents, total))) if terms else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], ["doc_id", "text", "sketch"])
 
-    keyed = rows.select(*keys(), "text")
-    made = keyed.mapInArrow(run, "key_a long, key_b long, sketch binary").where("sketch is not null")
-    sketches = scratch.write(made.groupBy("key_a", "key_b").agg(F.first("sketch").alias("sketch")), "sketches")
-    first = Window.partitionBy("key_a", "key_b").orderBy(F.col("doc_id").asc_nulls_last())
-    copies = rows.where("text is not null").select("doc_id", *keys()).withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= TOP)
-    return Index(documents, total, dictionary.where("term is not null").select("term", "df"), sketches, scratch.write(copies, "copies"), keyed)
+    made = rows.mapInArrow(run, "doc_id long, text string, sketch binary").where("sketch is not null")
+    return Index(documents, total, dictionary.where("term is not null").select("term", "df"), scratch.write(made, "sketches"))
 
 
 class Asked:
-    """A block of items: for each the cells' hashes and weights of its terms, and the terms for exact scores."""
+    """A block of items: their terms with weights for exact scores, and all their lookups in a row for bounds."""
 
     def __init__(self, items: list[list[tuple[str, int]]]):
         self.exact = [{t.encode("utf-8", "surrogatepass"): w for t, w in terms} for terms in items]
-        self.hashes = [np.array([zlib.crc32(t) for t in terms], np.int64) for terms in self.exact]
-        self.weights = [np.array(list(terms.values()), np.float64) for terms in self.exact]
+        self.hashes = np.array([zlib.crc32(t) for terms in self.exact for t in terms], np.int64)
+        self.weights = np.array([w for terms in self.exact for w in terms.values()], np.float64) * LEVEL
+        self.first = np.cumsum([0] + [len(terms) for terms in self.exact[:-1]])
 
     def bounds(self, sketches: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-        """Upper bounds of an item's scores for sketches of one length: lookups of its terms' cells, times their weights.
+        """Upper bounds (sketches, items) for sketches of one length, some sketches at a time, each time with the first one's place.
 
-        Bounds are whole numbers below 2^53, so double precision is exact.
+        A lookup gives at least the level of the item's term, so the weighted sum is never below the score. Bounds are whole numbers
+        below 2^53, so double precision is exact.
         """
-        size = len(sketches[0])
-        cells = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), size).T.astype(np.float64)
-        for item, (hashes, weights) in enumerate(zip(self.hashes, self.weights)):
-            yield item, (weights @ cells[hashes & (size - 1)] * LEVEL).astype(np.int64)
-
-
-def bounded(index: Index, asked, least: list[int] | None) -> DataFrame:
-    """``item, key_a, key_b, bound``: texts whose bound reaches ``least`` of the item, or else each task's ``TOP`` highest bounds."""
+        size, step = len(sketches[0]), max(1, LOOKUPS // len(self.hashes))
+        places = self.hashes & (size - 1)
+        for k in range(0, len(sketches), step):
+            cells = np.frombuffer(b"".join(sketches[k : k + step]), np.uint8).reshape(-1, size)
+            yield k, np.add.reduceat(np.take(cells, places, axis=1) * self.weights, self.first, axis=1)
+
+
+class Best:
+    """The best documents found for each item of a block, best first, equal scores by ascending doc_id (a missing one last)."""
+
+    def __init__(self, asked: Asked, documents: int, total: int):
+        self.exact, self.documents, self.total = asked.exact, documents, total
+        self.found: list[list[tuple[int, bool, int]]] = [[] for _ in self.exact]
+        self.least = np.ones(len(self.exact))
+
+    def look(self, doc_ids: list, texts: list[pa.StringScalar], bounds: np.ndarray) -> None:
+        """Score documents exactly in descending order of bounds, for each item until its bound is below the last place's score."""
+        counts: dict[int, tuple[Counter, int]] = {}
+        reach = bounds >= self.least
+        for item in np.flatnonzero(reach.any(axis=0)).tolist():
+            rows = np.flatnonzero(reach[:, item])
+            terms, found = self.exact[item], self.found[item]
+            for row in rows[np.argsort(-bounds[rows, item], kind="stable")].tolist():
+                if bounds[row, item] < self.least[item]:
+                    break
+                if row not in counts:
+                    words = terms_of(texts[row].as_py())
+                    counts[row] = Counter(words), length_factor(len(words), self.documents, self.total)
+                own, m = counts[row]
+                score = sum(w * impact(own[t], m) for t, w in terms.items() if t in own)
+                if score > 0:
+                    insort(found, (-score, doc_ids[row] is None, doc_ids[row] or 0))
+                    del found[TOP:]
+                    if len(found) == TOP:
+                        self.least[item] = -found[-1][0]
+
+
+def best_of_tasks(index: Index, asked) -> DataFrame:
+    """``item, doc_id, score``: every task's ``TOP`` best documents for each item of a block.
+
+    A task looks up the bounds of its sketches for all items at once and scores texts exactly only as long as a bound reaches the score
+    of the item's last place so far; texts whose bound does not reach it cannot take a place.
+    """
+    documents, total = index.documents, index.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = asked.value
-        best: dict[int, np.ndarray] = {}
-        waiting: dict[int, list] = {}
-
-        def rows(item: int, found: np.ndarray):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), item, np.int32)), *(pa.array(found[:, c]) for c in range(3))], ["item", "key_a", "key_b", "bound"])
-
-        def look(held: list) -> Iterator[pa.RecordBatch]:
-            texts = np.array([h[:2] for h in held], np.int64)
-            for item, bound in own.bounds([h[2] for h in held]):
-                if least is not None:
-                    reach = bound >= max(least[item], 1)
-                    if reach.any():
-                        yield rows(item, np.column_stack([texts[reach], bound[reach]]))
-                    continue
-                top = np.argpartition(-bound, TOP - 1)[:TOP] if len(bound) > TOP else np.arange(len(bound))
-                found = np.column_stack([texts[top], bound[top]])
-                if item in best:
-                    found = np.concatenate([best[item], found])
-                    found = found[np.argsort(-found[:, 2], kind="stable")[:TOP]]
-                best[item] = found
+        best, waiting = Best(own, documents, total), {}
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held = waiting.setdefault(len(row[2]), [])
-                held.append(row)
-                if len(held) * len(row[2]) >= TOGETHER:
-                    yield from look(waiting.pop(len(row[2])))
-        for held in waiting.values():
-            yield from look(held)
-        for item, found in best.items():
-            found = found[found[:, 2] > 0]
-            if len(found):
-                yield rows(item, found)
-
-    return index.sketches.mapInArrow(run, "item int, key_a long, key_b long, bound long")
+        def look(doc_ids: list, texts: list, sketches: list[bytes]) -> None:
+            for k, bounds in own.bounds(sketches):
+                best.look(doc_ids[k : k + len(bounds)], texts[k : k + len(bounds)], bounds)
 
-
-def rescored(index: Index, asked, candidates: DataFrame) -> DataFrame:
-    """``item, key_a, key_b, score`` of candidate texts (``item, key_a, key_b``), from the texts themselves."""
-    documents, total = index.documents, index.total
-    wanted = candidates.groupBy("key_a", "key_b").agg(F.collect_list("item").alias("items"))
-    if wanted.count() <= BROADCAST_TEXTS:
-        wanted = F.broadcast(wanted)
-    texts = index.texts.join(wanted, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = asked.value.exact
         for batch in batches:
-            out = []
-            for key_a, key_b, text, items in zip(*(c for c in batch.columns)):
-                terms = terms_of(text.as_py())
-                counts, m, key_a, key_b = Counter(terms), length_factor(len(terms), documents, total), key_a.as_py(), key_b.as_py()
-                for item in items.as_py():
-                    out.append((item, key_a, key_b, sum(w * impact(counts[t], m) for t, w in own[item].items() if t in counts)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, [pa.int32(), *[pa.int64()] * 3])], ["item", "key_a", "key_b", "score"])
-
-    return texts.select("key_a", "key_b", "text", "items").mapInArrow(run, "item int, key_a long, key_b long, score long").where("score > 0")
-
-
-def ranked(scores: DataFrame, copies: DataFrame) -> DataFrame:
-    """``item, rank, doc_id, score``: the best documents of each item among scored texts and their copies."""
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    rows = scores.join(copies, ["key_a", "key_b"]).withColumn("rank", F.row_number().over(order))
-    return rows.where(F.col("rank") <= TOP).select("item", "rank", "doc_id", "score")
-
-
-def search_block(index: Index, items: list[list[tuple[str, int]]], scratch: Scratch) -> DataFrame:
-    """``item, rank, doc_id, score`` for the items of a block, by number; an item is its terms and their weights.
+            for doc_id, text, packed in zip(*batch.columns):
+                cells = zstandard.decompress(packed.as_py())
+                held = waiting.setdefault(len(cells), ([], [], []))
+                for column, value in zip(held, (doc_id.as_py(), text, cells)):
+                    column.append(value)
+                if len(held[0]) * len(cells) >= TOGETHER:
+                    look(*waiting.pop(len(cells)))
+        for held in waiting.values():
+            look(*held)
+        rows = [(item, None if missing else doc_id, -score) for item, found in enumerate(best.found) for score, missing, doc_id in found]
+        columns = list(zip(*rows)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()))], ["item", "doc_id", "score"])
 
-    First the texts of highest bounds are scored exactly; the score of an item's last place among them is its threshold. Texts whose
-    bound reaches it are scored in descending order of bounds, in rounds that grow, and each round raises the threshold, until
-    no text is left whose bound reaches it. Nothing that could take a place is left out.
-    """
-    spark = scratch.spark
-    asked = spark.sparkContext.broadcast(Asked(items))
-    first = Window.partitionBy("item").orderBy(F.desc("bound"), "key_a", "key_b")
-    top = bounded(index, asked, None).withColumn("place", F.row_number().over(first)).where(F.col("place") <= TOP)
-    scores = scratch.write(rescored(index, asked, top), "scores")
-    best = scratch.write(ranked(scores, index.copies), "best")
-    least = threshold(best, len(items))
-    left = bounded(index, asked, least).join(scores.select("item", "key_a", "key_b"), ["item", "key_a", "key_b"], "left_anti")
-    left = scratch.write(left, "candidates")
-    size = TOP * GROWTH
-    while True:
-        limits = F.broadcast(spark.createDataFrame([(i, v) for i, v in enumerate(least)], "item int, least long"))
-        live = left.join(limits, "item").where("bound >= least").drop("least")
-        now = live.withColumn("place", F.row_number().over(first)).where(F.col("place") <= size).drop("place")
-        now = scratch.write(now, "round")
-        if now.isEmpty():
-            return best
-        scores = scratch.write(rescored(index, asked, now).unionByName(scores), "scores")
-        best = scratch.write(ranked(scores, index.copies), "best")
-        least = threshold(best, len(items))
-        left = scratch.write(live.join(now.select("item", "key_a", "key_b"), ["item", "key_a", "key_b"], "left_anti"), "candidates")
-        size *= GROWTH
-
-
-def threshold(best: DataFrame, items: int) -> list[int]:
-    """Scores of last places; an item with free places has none."""
-    found = dict(best.where(F.col("rank") == TOP).select("item", "score").collect())
-    return [found.get(i, 0) for i in range(items)]
+    return index.sketches.select("doc_id", "text", "sketch").mapInArrow(run, "item int, doc_id long, score long")
 
 
 def search(index: Index, items: DataFrame) -> DataFrame:
@@ -259,22 +206,20 @@ def search(index: Index, items: DataFrame) -> DataFrame:
     rows = rows.select("item_id", "text", F.sha2("text", 256).alias("ask"))
     words = F.regexp_extract_all(F.translate("text", CAPITALS, SMALL), F.lit(TERM), 0)
     counts = rows.dropDuplicates(["ask"]).select("ask", F.explode(words).alias("term")).groupBy("ask", "term").agg(F.count("*").alias("times"))
-    terms = counts.join(index.dictionary, "term")  # terms of no document add nothing
-    terms = scratch.write(terms.withColumn("df", F.coalesce("df", F.lit(0))), "terms")
+    terms = scratch.write(counts.join(index.dictionary, "term"), "terms")  # terms of no document add nothing
     asks, total = terms.agg(F.countDistinct("ask"), F.count("*")).first()
     blocks = max(1, -(-asks // BLOCK_ITEMS), -(-total // BLOCK_TERMS))
-    found = None
-    kind = T.StructType([T.StructField("ask", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("score", T.LongType())])
+    found = spark.createDataFrame([], "ask string, doc_id long, score long")
     for block in range(blocks):
         held: dict[str, list] = {}
         for ask, term, times, df in terms.where(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == block).select("ask", "term", "times", "df").collect():
             held.setdefault(ask, []).append((term, times * weight(index.documents, df)))
         if held:
+            asked = spark.sparkContext.broadcast(Asked(list(held.values())))
             names = spark.createDataFrame(list(enumerate(held)), "item int, ask string")
-            part = search_block(index, list(held.values()), scratch).join(F.broadcast(names), "item").select("ask", "rank", "doc_id", "score")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], kind)
+            found = found.unionByName(best_of_tasks(index, asked).join(F.broadcast(names), "item").select("ask", "doc_id", "score"))
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
     return rows.select("item_id", "ask").join(found, "ask").select("item_id", "rank", "doc_id", "score")
 
 
