@@ -96,7 +96,7 @@ def build_index(docs: DataFrame) -> Index:
     scratch = Scratch(docs.sparkSession, "sketches")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dictionary = scratch.write(count_terms(rows), "dictionary")
-    documents, total = dictionary.where("term is null").select("df", "total").first()
+    documents, total = dictionary.where("term is null").select("df", "total").first() or (0, 0)  # no partitions, no counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
