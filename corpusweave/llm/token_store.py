@@ -53,7 +53,7 @@ class Encoder:
             ids = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         elif text:
             parts = text.replace(" ", "\0 ").split("\0")
-            if BROKEN.search(text):
+            if any(pair in text for pair in BROKEN):
                 parts = joined(parts)
             if len(self.pieces) > CACHED:  # what is asked for again comes back from the half before
                 self.before, self.pieces = self.pieces, Pieces(self.piece)
@@ -102,7 +102,7 @@ class Pieces(dict):
 
 
 #: White space before a blank: such a blank is part of a run, and no cut is made there.
-BROKEN = re.compile(r"\s ")
+BROKEN = tuple(chr(c) + " " for c in range(0x3001) if chr(c).isspace())
 
 
 def joined(parts: list[str]) -> list[str]:
@@ -180,6 +180,7 @@ class Shard:
         self.left, self.right, self.length = np.frombuffer(data, "<u4", 3 * rules, at).reshape(3, rules).astype(np.int64)
         self.offsets = np.frombuffer(data, "<u4", docs + 1, at + 12 * rules).astype(np.int64)
         self.symbols = np.frombuffer(data, "<u4" if wide else "<u2", symbols, at + 12 * rules + 4 * docs + 4)
+        self.flat = None
 
     def lengths(self) -> np.ndarray:
         """Ids of each document, from the rules' expansion lengths alone."""
@@ -196,15 +197,22 @@ class Shard:
         return self.expanded(self.symbols)
 
     def expanded(self, seq: np.ndarray) -> np.ndarray:
-        seq = seq.astype(np.int64)
-        while (rule := seq >= self.base).any():
-            place = np.cumsum(rule) - rule + np.arange(len(seq))
-            out = np.empty(len(seq) + int(rule.sum()), np.int64)
-            of = seq[rule] - self.base
-            out[place[~rule]] = seq[~rule]
-            out[place[rule]], out[place[rule] + 1] = self.left[of], self.right[of]
-            seq = out
-        return seq.astype("<u4")
+        """Ids of symbols: what a symbol stands for lies in ``flat``, for one without a rule at its own number."""
+        if self.flat is None:
+            starts, parts, at = [*range(self.base)], [np.arange(self.base, dtype=np.uint32)], self.base
+            for rule in zip(self.left.tolist(), self.right.tolist()):
+                whole = np.concatenate([self.expansion(parts, s) for s in rule])
+                parts.append(whole)
+                starts.append(at)
+                at += len(whole)
+            self.flat, self.starts = np.concatenate(parts), np.array(starts, np.int64)
+            self.sizes = np.concatenate([np.ones(self.base, np.int64), self.length])
+        size = self.sizes[seq]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.starts[seq] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
+
+    def expansion(self, parts: list[np.ndarray], symbol: int) -> np.ndarray:
+        return parts[0][symbol : symbol + 1] if symbol < self.base else parts[symbol - self.base + 1]
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str) -> None:

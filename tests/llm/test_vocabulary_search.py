@@ -202,3 +202,29 @@ def test_copies_fill_places_by_doc_id(spark):
     docs = [(i, "same words here") for i in range(40, 0, -1)] + [(None, "same words here"), (99, "same words here too many others")]
     found = max_sketch.search(max_sketch.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)), spark.createDataFrame([(1, "words here")], "item_id long, text string"))
     assert [(r["rank"], r.doc_id) for r in found.orderBy("rank").collect()] == [(i, i) for i in range(1, 11)]
+
+
+# token shards
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_frequent_pair_is_left(seed):
+    from corpusweave.llm import token_store
+
+    rng = np.random.default_rng(seed)
+    phrases = [rng.integers(0, 300, rng.integers(2, 9)) for _ in range(40)]
+    docs = [np.concatenate([phrases[i] for i in rng.integers(0, 40, rng.integers(1, 60))]) for _ in range(200)]
+    docs += [np.full(int(n), 7) for n in rng.integers(1, 50, 20)]  # runs of one id
+    ids, starts = np.concatenate(docs).astype("<u4"), np.cumsum([0] + [len(d) for d in docs[:-1]])
+    shard = token_store.Shard(token_store.compress(ids, starts))
+    assert (shard.ids() == ids).all() and all((shard.document(n) == d).all() for n, d in enumerate(docs))
+    left = Counter(pair for a, b in zip(shard.offsets[:-1], shard.offsets[1:]) for pair in zip(shard.symbols[a : b - 1].tolist(), shard.symbols[a + 1 : b].tolist()))
+    assert max(left.values()) < 2 * max(4, int(len(ids) * token_store.RULE_SHARE)) and len(shard.symbols) < len(ids) / 3
+    apart = Counter()  # occurrences that do not overlap, as rules replace them
+    for a, b in zip(shard.offsets[:-1], shard.offsets[1:]):
+        own, last = shard.symbols[a:b].tolist(), {}
+        for at, pair in enumerate(zip(own, own[1:])):
+            if last.get(pair) != at - 1:
+                apart[pair] += 1
+                last[pair] = at
+    assert max(apart.values()) < max(4, int(len(ids) * token_store.RULE_SHARE))
