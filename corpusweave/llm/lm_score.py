@@ -21,7 +21,7 @@ PARTS, PART_EVENTS, BITS, PROBES = 4096, 1 << 18, 8, 4
 #: Different words a task counts at once.
 COUNTED = 1 << 18
 #: Events counted together before they leave a task, words of a stretch of text, words whose n-grams are asked for together.
-EVENTS, CHUNK, GROUP = 1 << 20, 1 << 17, 1 << 18
+EVENTS, CHUNK, GROUP = 1 << 21, 1 << 17, 1 << 20
 #: The end of a text counts as an empty word; the word before the first is one that no text has.
 END, BEGIN = b"", b" "
 BEGIN_HASH, END_HASH = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
