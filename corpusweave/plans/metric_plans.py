@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusweave import rules
 from corpusweave.functions import text as T
 from corpusweave.functions.binding import bind
-from corpusweave.operators import logs as Lg, metrics as M
+from corpusweave.operators import logs as Lg, metrics as M, reuse as Re
 from corpusweave.operators.ordering import micros, percentiles, value_ranks
 from corpusweave.plans import sqlkit as S
 from corpusweave.plans.registry import query
@@ -303,6 +303,22 @@ def sessions(t):
     return Lg.sessions(t.events, "user_id", "ts")
 
 
+CAPACITY, IDLE_SECONDS = 60, 12 * 3600
+
+
+@query(
+    "conversation_evictions",
+    f"""WITH t AS (SELECT DISTINCT user_id, epoch_us(ts) AS us FROM events), p AS (SELECT *, row_number() OVER (ORDER BY us, user_id) AS pos FROM t),
+    o AS (SELECT *, lag(pos) OVER (PARTITION BY user_id ORDER BY pos) AS prev, us - lag(us) OVER (PARTITION BY user_id ORDER BY pos) AS idle_us FROM p),
+    d AS (SELECT o.user_id, o.us, o.idle_us, CASE WHEN o.prev IS NOT NULL THEN count(DISTINCT x.user_id) END AS distance
+        FROM o LEFT JOIN o x ON x.pos > o.prev AND x.pos < o.pos GROUP BY o.user_id, o.us, o.idle_us, o.prev)
+    SELECT *, CASE WHEN idle_us IS NULL THEN 'new' WHEN idle_us > {IDLE_SECONDS}000000 THEN 'expired' WHEN distance >= {CAPACITY} THEN 'evicted' ELSE 'kept' END AS outcome FROM d""",
+)
+def conversation_evictions(t):
+    """Which touches still find their conversation in a store of 60 that forgets what was idle for half a day."""
+    return Re.evictions(t.events, "user_id", "ts", CAPACITY, IDLE_SECONDS)
+
+
 @query(
     "max_overlap",
     """WITH sp AS (SELECT event_type, epoch_us(ts) AS s, epoch_us(ts) + round(value * 60000000)::BIGINT AS e FROM events), g AS (SELECT event_type, s AS tm, 1 AS d FROM sp UNION ALL SELECT event_type, e, -1 FROM sp),

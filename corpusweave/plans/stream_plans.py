@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from corpusweave.plans.registry import ORACLE, query
 from corpusweave.session import shared_folder
-from corpusweave.streaming import conversation_state, ingest, windows
+from corpusweave.plans.metric_plans import RATE_MAX, RATE_SECONDS
+from corpusweave.streaming import conversation_state, ingest, rate_limit, windows
 
 
 def _stream(t, table):
@@ -16,9 +17,9 @@ def _stream(t, table):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
 
 
-def _events(t, folder):
+def _events(t, folder, *more):
     """(event stream, what closes it): a folder beside the events takes one row, a month after the last event and of nobody."""
-    events = t.spark.read.parquet(f"{t.folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "user_id", "event_type", "value")
+    events = t.spark.read.parquet(f"{t.folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "user_id", "event_type", "value", *more)
     closing = f"{folder}/closing"
     events.limit(0).write.parquet(closing)
 
@@ -67,3 +68,13 @@ def stream_ingest(t):
         started.awaitTermination()
     store = t.spark.read.parquet(f"{folder}/store")
     return store.agg(F.count("*").alias("stored"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query("stream_rate_limit", ORACLE["rate_limit_decisions"])
+def stream_rate_limit(t):
+    """At most two accepted requests per user and hour, every event delivered twice: the same as over the whole table."""
+    folder = _folder(t)
+    events, close = _events(t, folder, "event_id")
+    again, _ = _events(t, f"{folder}/again", "event_id")
+    limited = rate_limit.stream_rate_limit(events.unionByName(again), RATE_MAX, RATE_SECONDS)
+    return ingest.drain(limited, folder, "limited", close=close).where("user_id is not null")
