@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from corpusweave.llm.common import Scratch, table
 
 MARK = "▁"
-#: Words of the table's head, which every task holds, and their greatest length: at most 32 MB of text. The head decides where
-#: a word is looked up and nothing else; all other words go through the join.
-HEAD, HEAD_CHARS = 1 << 17, 64
+#: Words of the table's head, which every task holds, and their greatest length: at most 64 MB of text, about 3 MB of English. The head
+#: decides where a word is looked up and nothing else; all other words go through the join.
+HEAD, HEAD_CHARS = 1 << 18, 64
 #: Characters of a block of texts, different words a task counts at once, times a word must occur among these to be proposed for the head.
 BLOCK_CHARS, COUNTED, REPEATED = 8_000_000, 1 << 19, 4
 #: Words outside the head a bucket gets on average.
@@ -177,8 +177,11 @@ def blocks(docs: DataFrame, head: Named) -> DataFrame:
         known, number = places(head).get, 0
 
         def row():
-            numbers = np.frombuffer(words, np.uint32)
-            values = (f"{context.partitionId()}-{number}", doc_ids, sizes, planes(numbers), packed_words(list(own)), len(own))
+            others = sorted(own)  # like words next to each other pack better
+            rank = np.arange(base + len(own), dtype=np.uint32)
+            rank[[own[w] for w in others]] = np.arange(base, base + len(own), dtype=np.uint32)
+            numbers = rank[np.frombuffer(words, np.uint32)]
+            values = (f"{context.partitionId()}-{number}", doc_ids, sizes, planes(numbers), packed_words(others), len(own))
             kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64())
             names = ("block", "doc_ids", "sizes", "words", "others", "n_others")
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
