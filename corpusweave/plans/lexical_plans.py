@@ -269,6 +269,21 @@ def verbatim_evidence(t):
     return P.verbatim_pages(questions(t), pages(t))
 
 
+@query(
+    "partial_word_quotes",
+    f"""WITH b AS (SELECT item_id, {S.squeeze('text')} AS t FROM benchmark), q AS (SELECT item_id * 4 + n AS query_id, {S.squeeze("substr(t, (length(t) * n) // 4 + 1, [3, 9, 15, 24][n + 1])")} AS quote FROM b, range(4) AS r(n))
+    SELECT query_id, doc_id FROM q JOIN (SELECT doc_id, {S.squeeze('text')} AS page FROM documents) ON quote <> '' AND contains(page, quote)""",
+)
+def partial_word_quotes(t):
+    """Four short quotes cut out of each benchmark text, mostly within words: the documents that hold them."""
+    text = T.normalize_ws(F.col("text"))
+    n = F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(size).alias("size")) for n, size in enumerate((3, 9, 15, 24))])).alias("p")
+    cut = t.benchmark.select("item_id", text.alias("t"), n)
+    start = (F.floor(F.char_length("t") * F.col("p.n") / 4) + 1).cast("int")
+    quotes = cut.select((F.col("item_id") * 4 + F.col("p.n")).alias("query_id"), F.col("t").substr(start, F.col("p.size")).alias("text"))
+    return P.verbatim_pages(quotes, pages(t))
+
+
 TITLE = "string_split(d.text, chr(10))[1]"
 
 
