@@ -12,6 +12,7 @@ from corpusweave.plans.registry import query
 from corpusweave.plans.segment_plans import CHUNKS
 from corpusweave.session import shared_folder
 from corpusweave.sources import readers, writers
+from corpusweave.sources.vector_table import VectorTable
 
 
 def _folder(t, name):
@@ -86,6 +87,22 @@ def vector_store(t):
     return stored.select("vec_id", F.size("embedding").alias("dims"), F.get("embedding", 0).cast("double").alias("first_value"))
 
 
+@query(
+    "vector_upsert",
+    """SELECT vec_id, len(embedding) AS dims, (CASE WHEN label % 2 = 1 THEN -embedding[1] ELSE embedding[1] END)::DOUBLE AS first_value, 3::BIGINT AS version FROM embeddings""",
+)
+def vector_upsert(t):
+    """Vectors of labels below 5, then an upsert of the others, then one that turns those of odd labels round and comes twice."""
+    store = VectorTable(t.spark, _folder(t, "vector-table"), rows_per_file=max(50, t.embeddings.count() // 20))
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    turned = rows.where("label % 2 = 1").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    store.upsert(rows.where("label < 5").drop("label"), "first")
+    store.upsert(rows.where("label >= 5").drop("label"), "second")
+    for _ in range(2):
+        version = store.upsert(turned.drop("label"), "turned")
+    return store.read().select("vec_id", F.size("embedding").alias("dims"), F.get("embedding", 0).alias("first_value"), F.lit(version).cast("long").alias("version"))
+
+
 @query("source_golden_cases", "SELECT item_id, md5(text) AS text_md5 FROM benchmark")
 def source_golden_cases(t):
     """One case a line; blank and broken lines between the cases are dropped."""
