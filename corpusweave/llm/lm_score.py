@@ -21,7 +21,7 @@ PARTS, PART_EVENTS, BITS, PROBES = 4096, 1 << 18, 8, 4
 #: Different words a task counts at once.
 COUNTED = 1 << 18
 #: Events counted together before they leave a task, words of a stretch of text, words whose n-grams are asked for together.
-EVENTS, CHUNK, GROUP = 1 << 21, 1 << 17, 1 << 20
+EVENTS, CHUNK, GROUP = 1 << 22, 1 << 17, 1 << 20
 #: The end of a text counts as an empty word; the word before the first is one that no text has.
 END, BEGIN = b"", b" "
 BEGIN_HASH, END_HASH = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -163,28 +163,34 @@ def _pair_counts(docs: DataFrame, number: int) -> DataFrame:
     """``slot, keys, contexts, n``: pairs of neighbouring tokens, summed inside a task and packed by part."""
 
     def run(batches):
-        before, after, held = [], [], 0
+        before, after, held = np.empty(EVENTS, np.uint64), np.empty(EVENTS, np.uint64), 0
         for batch in batches:
             for text in batch.column(0):
                 own = np.concatenate([[BEGIN_HASH], hashes_of(words_of(text.as_py())), [END_HASH]])
-                for k in range(0, len(own) - 1, EVENTS):
-                    before.append(own[k : min(k + EVENTS, len(own) - 1)])
-                    after.append(own[k + 1 : k + 1 + EVENTS])
-                    held += len(after[-1])
-                    if held >= EVENTS:
+                k = 0
+                while k < len(own) - 1:
+                    n = min(EVENTS - held, len(own) - 1 - k)
+                    before[held : held + n], after[held : held + n] = own[k : k + n], own[k + 1 : k + 1 + n]
+                    held, k = held + n, k + n
+                    if held == EVENTS:
                         yield summed(before, after)
-                        before, after, held = [], [], 0
+                        held = 0
         if held:
-            yield summed(before, after)
+            yield summed(before[:held], after[:held])
 
-    def summed(before: list, after: list) -> pa.RecordBatch:
-        before = np.concatenate(before)
-        keys = pairs_of(before, np.concatenate(after))
+    def summed(before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+        """Both arrays are used up: the words become the pairs' keys, then both are sorted in place."""
+        keys = after
+        for k in range(0, len(keys), CHUNK):
+            keys[k : k + CHUNK] = pairs_of(before[k : k + CHUNK], after[k : k + CHUNK])
         order = np.argsort(keys)
-        keys, before = keys[order], before[order]
+        keys[:] = keys[order]
+        before[:] = before[order]
+        del order
         first = starts(keys)
         n = np.diff(np.append(first, len(keys)))
-        return pa.RecordBatch.from_arrays(packed(part_of(keys[first], number), keys[first], before[first], n), ["slot", "keys", "contexts", "n"])
+        own = keys[first]
+        return pa.RecordBatch.from_arrays(packed(part_of(own, number), own, before[first], n), ["slot", "keys", "contexts", "n"])
 
     return docs.select("text").mapInArrow(run, "slot long, keys binary, contexts binary, n binary")
 

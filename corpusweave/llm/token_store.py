@@ -38,7 +38,9 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         if self.whole.normalizer is not None or type(self.whole.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("only byte-level tokenizers without a normalizer are cut into pieces")
-        self.model, self.pieces, self.before = self.whole.model, Pieces(self.piece), {}
+        self.model = self.whole.model
+        # pieces as they are, and pieces without the blank in front that nearly all begin with
+        self.loose, self.after = Pieces(self.piece, {}), Pieces(lambda rest: self.piece(" " + rest), {})
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.split = self.whole.pre_tokenizer.pre_tokenize_str
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -52,33 +54,33 @@ class Encoder:
         if "\0" in text or any(s in text for s in self.special):
             ids = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         elif text:
-            parts = text.replace(" ", "\0 ").split("\0")
+            if len(self.after) > CACHED:  # what is asked for again comes back from the half before
+                self.loose, self.after = self.loose.renewed(), self.after.renewed()
             if any(pair in text for pair in BROKEN):
-                parts = joined(parts)
-            if len(self.pieces) > CACHED:  # what is asked for again comes back from the half before
-                self.before, self.pieces = self.pieces, Pieces(self.piece)
-            ids = b"".join(map(self.pieces.__getitem__, parts))
+                ids = b"".join(map(self.loose.__getitem__, joined(text.replace(" ", "\0 ").split("\0"))))
+            else:
+                parts = iter(text.split(" "))
+                ids = self.loose[next(parts)] + b"".join(map(self.after.__getitem__, parts))
         else:
             ids = b""
         return ids + b"\0\0\0\0"
 
+    def mapped(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
     def piece(self, piece: str) -> bytes:
-        """A piece that is not in the newer half of the cache."""
-        ids = dict.get(self.before, piece)
-        if ids is None:
-            plain = self.plain.fullmatch(piece)
-            if plain and piece.isprintable():
-                word, end = plain.groups()
-                if end:
-                    ids = self.pieces[word] + self.pieces[end]
-                else:
-                    word = word.encode().decode("latin-1").translate(self.letters) if not word.isascii() else word.replace(" ", self.blank)
-                    ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-            else:
-                ids = array("I", [t.id for part, _ in self.split(piece) for t in self.model.tokenize(part)]).tobytes()
-        if len(piece) < 64:
-            self.pieces[piece] = ids
-        return ids
+        """A piece that is not in the cache. A line end between two characters that are no blanks is a token of its own."""
+        first, line_end, rest = piece.partition("\n")
+        if line_end and first and rest and not first[-1].isspace() and not rest[0].isspace():
+            return (self.after[first[1:]] if first[0] == " " else self.loose[first]) + self.loose[line_end] + self.loose[rest]
+        plain = self.plain.fullmatch(piece)
+        if plain and piece.isprintable():
+            word, end = plain.groups()
+            if end:
+                return (self.after[word[1:]] if word[0] == " " else self.loose[word]) + self.loose[end]
+            word = self.blank + self.mapped(word[1:]) if word[0] == " " else self.mapped(word)
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return array("I", [t.id for part, _ in self.split(piece) for t in self.model.tokenize(part)]).tobytes()
 
 
 #: One encoder for each tokenizer in a Python worker: its pieces are known to the tasks that come after.
@@ -92,13 +94,22 @@ def encoder_of(path: str) -> Encoder:
 
 
 class Pieces(dict):
-    """Ids of pieces; one that is asked for first is encoded."""
+    """Ids of pieces; one that is asked for first is encoded, unless the half of the cache before knows it."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, before: dict):
+        self.encode, self.before = encode, before
 
     def __missing__(self, piece: str) -> bytes:
-        return self.encode(piece)
+        ids = dict.get(self.before, piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) < 64:
+            self[piece] = ids
+        return ids
+
+    def renewed(self) -> Pieces:
+        self.before = None
+        return Pieces(self.encode, self)
 
 
 #: White space before a blank: such a blank is part of a run, and no cut is made there.
@@ -273,8 +284,9 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, no, doc_ids, data in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
                 shard = Shard(data.as_py())
-                ends = np.cumsum(shard.lengths())
-                begins, ids = ends - shard.lengths(), shard.ids()
+                size, ids = shard.lengths(), shard.ids()
+                ends = np.cumsum(size)
+                begins = ends - size
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist())]
                 columns = [[part] * len(crc), [no] * len(crc), doc_ids, begins, ends - begins, crc]
                 kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
