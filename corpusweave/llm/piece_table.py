@@ -20,7 +20,7 @@ MARK = "▁"
 #: decides where a word is looked up and nothing else; all other words go through the join.
 HEAD, HEAD_CHARS = 1 << 18, 64
 #: Characters of a block of texts, different words a task counts at once, times a word must occur among these to be proposed for the head.
-BLOCK_CHARS, COUNTED, REPEATED = 8_000_000, 1 << 19, 4
+BLOCK_CHARS, COUNTED, REPEATED = 12_000_000, 1 << 19, 6
 #: Words outside the head a bucket gets on average.
 BUCKET_WORDS = 1 << 17
 CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
