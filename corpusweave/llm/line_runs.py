@@ -42,50 +42,56 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """What is known of all lines seen so far: ``line, docs, last`` (documents holding it, the largest doc_id).
+    """What is known of all lines seen so far, and which of a batch's lines are new.
 
-    A run is a table bucketed and sorted by the line's hash, so a new batch meets it by merging, without
-    a shuffle of the run. ``add`` joins a batch against every run, keeps which of its lines are new
-    (``fresh``) and stores the batch as a run of level 0. Once a level has ``FANOUT`` runs they are merged
-    into one of the next level, so n batches leave about log n runs and each line is rewritten log n times.
-    Runs lie in the shared folder; a lost executor costs the running batch only.
+    A run is a table ``line, docs, last`` (documents holding it, the largest doc_id) bucketed and sorted by the line's hash. Every line
+    has one entry, in the run of the batch that brought it: ``add`` merge-anti-joins a batch against the runs, stores the lines that are
+    left as a run of level 0, and notes the others as increments of entries that are there. Once a level has ``FANOUT`` runs they are
+    merged into one of the next level, so n batches leave about log n runs and each entry is rewritten log n times. Runs lie in the
+    shared folder; a lost executor costs the running batch only.
     """
 
     def __init__(self, spark: SparkSession, scratch: Scratch):
         self.spark, self.scratch = spark, scratch
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, str]]] = []
-        self.superseded: list[tuple[str, str]] = []
+        self.increments: list[DataFrame] = []
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Store a batch ``doc_id, line`` of documents that no earlier batch held; returns its run, readable until the next."""
-        self._forget(self.superseded)
-        own = lines.distinct().groupBy("line").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-        fresh = F.lit(True)
-        for n, run in enumerate(self.runs()):
-            own = own.join(run.select("line", F.lit(True).alias(f"in{n}")), "line", "left")
-            fresh = fresh & F.col(f"in{n}").isNull()
-        return self._store(own.select("line", "docs", "last", fresh.alias("fresh")), 0)
+        """Store a batch ``doc_id, line`` of documents that no earlier batch held; returns ``line, docs, last`` of its new lines."""
+        own = self.scratch.write(lines.distinct().groupBy("line").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")), "batch")
+        new = reduce(lambda left, run: left.join(run.select("line"), "line", "left_anti"), self.runs(), own)
+        new = self.scratch.write(new.select("line", "docs", "last"), "new")
+        if self.levels:
+            self.increments.append(self.scratch.write(own.join(new.select("line"), "line", "left_anti").select("line", "docs", "last"), "increments"))
+        self.scratch.drop(own)
+        self._store(new, 0)
+        return new
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name, _ in level]
 
-    def merged(self) -> DataFrame:
-        """One row per line over all runs."""
-        return reduce(self._sum, [run.select("line", "docs", "last") for run in self.runs()])
+    def known(self) -> DataFrame:
+        """``line, docs, last`` of every line: its entry, and what later batches added to it."""
+        entries = reduce(DataFrame.unionByName, [run.select("line", "docs", "last") for run in self.runs()])
+        if not self.increments:
+            return entries
+        more = reduce(DataFrame.unionByName, self.increments).groupBy("line").agg(F.sum("docs").alias("more"), F.max("last").alias("later"))
+        docs = (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs")
+        return entries.join(more, "line", "left").select("line", docs, F.greatest("last", "later").alias("last"))
 
     def close(self) -> None:
         """Drop all runs."""
-        self._forget([run for level in self.levels for run in level] + self.superseded)
+        for level in self.levels:
+            self._forget(level)
         self.levels = []
 
     def _forget(self, runs: list[tuple[str, str]]) -> None:
         for name, path in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             self.scratch.drop(path)
-        self.superseded = []
 
-    def _store(self, rows: DataFrame, level: int) -> DataFrame:
+    def _store(self, rows: DataFrame, level: int) -> None:
         path = self.scratch.path(f"run{level}")
         name = "run_" + path.rpartition("line-runs-")[2].replace("/", "_").replace("-", "_")
         rows = rows.repartition(self.buckets, "line")
@@ -93,20 +99,10 @@ class LineRuns:
         if len(self.levels) == level:
             self.levels.append([])
         self.levels[level].append((name, path))
-        stored = self.spark.table(name)
         if len(self.levels[level]) >= FANOUT:
             old, self.levels[level] = self.levels[level], []
-            merged = reduce(self._sum, [self.spark.table(n) for n, _ in old])
-            self._store(merged.withColumn("fresh", F.lit(True)), level + 1)
-            self.superseded += old
-        return stored
-
-    @staticmethod
-    def _sum(first: DataFrame, second: DataFrame) -> DataFrame:
-        """Two runs merged on their buckets, without a shuffle."""
-        other = second.select("line", F.col("docs").alias("more"), F.col("last").alias("later"))
-        docs = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))
-        return first.join(other, "line", "full").select("line", docs.alias("docs"), F.greatest("last", "later").alias("last"))
+            self._store(reduce(DataFrame.unionByName, [self.spark.table(n) for n, _ in old]), level + 1)  # no line is in two runs
+            self._forget(old)
 
 
 def without_repeated_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -125,11 +121,11 @@ def without_repeated_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame
     scratch = Scratch(spark, "line-runs")
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
     lines = scratch.write(line_keys(docs).select("doc_id", "line", batch), "lines", "batch")
-    known = LineRuns(spark, scratch)
+    runs = LineRuns(spark, scratch)
     for n in range(batches):
-        known.add(lines.where(F.col("batch") == n).select("doc_id", "line"))
-    repeated = scratch.write(known.merged().where(F.col("docs") >= MIN_DOCS).select("line", "last"), "repeated")
-    known.close()
+        runs.add(lines.where(F.col("batch") == n).select("doc_id", "line"))
+    repeated = scratch.write(runs.known().where(F.col("docs") >= MIN_DOCS).select("line", "last"), "repeated")
+    runs.close()
     lost = lines.select("doc_id", "line").join(repeated, "line").where(~F.col("doc_id").eqNullSafe(F.col("last")))
     lost = lost.groupBy("doc_id").agg(F.collect_set("line").alias("lost")).withColumnRenamed("doc_id", "id")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

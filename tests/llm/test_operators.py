@@ -146,11 +146,13 @@ def test_line_runs_are_compacted_and_know_new_lines(spark):
     sizes = []
     for batch in range(5):
         rows = [(batch * 10 + d, bytes([line]) * 16) for d in range(3) for line in (batch, 7)]
-        fresh = {bytes(r.line)[0] for r in runs.add(spark.createDataFrame(rows, "doc_id long, line binary")).where("fresh").collect()}
+        fresh = {bytes(r.line)[0] for r in runs.add(spark.createDataFrame(rows, "doc_id long, line binary")).collect()}
         assert fresh == ({0, 7} if batch == 0 else {batch})
         sizes.append(sum(map(len, runs.levels)))
     assert sizes == [1, 1, 2, 1, 2]
-    merged = {bytes(r.line)[0]: (r.docs, r.last) for r in runs.merged().collect()}
+    found = runs.known().collect()
+    merged = {bytes(r.line)[0]: (r.docs, r.last) for r in found}
+    assert len(found) == len(merged)  # one entry for each line: without the anti-join a line would have one for each batch
     assert merged[7] == (15, 42) and merged[3] == (3, 32)
     runs.close()
 
