@@ -122,8 +122,12 @@ def stem_words(words: Iterable[str], second: bool = False) -> list[str]:
     return sorted(set(out))
 
 
+def stemmed(words: Column) -> Column:
+    return _stem_all(words, _STEM_PASSES)
+
+
 def terms(text: Column, extra_stop_words: Iterable[str] = ()) -> Column:
-    return _stem_all(content_words(text, extra_stop_words), _STEM_PASSES)
+    return stemmed(content_words(text, extra_stop_words))
 
 
 def term_set(text: Column, extra_stop_words: Iterable[str] = ()) -> Column:

@@ -244,19 +244,30 @@ def comparison_concepts(text: Column) -> Column:
     )
 
 
-def common_subsequence(left: Column, right: Column) -> Column:
-    """Length of the longest common subsequence of two short term lists (dynamic programming rows)."""
-    zero = F.transform(right, lambda _: F.lit(0))
+def common_subsequence(left: str, right: str) -> Column:
+    """Length of the longest common subsequence of two term lists (column names).
 
-    def row(previous: Column, term: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            diagonal = F.when(j > 0, F.get(previous, j - 1)).otherwise(0)
-            beside = F.when(j > 0, F.get(acc, j - 1)).otherwise(0)
-            value = F.when(term == F.get(right, j), diagonal + 1).otherwise(F.greatest(F.get(previous, j), beside))
-            return F.concat(acc, F.array(value))
+    A row of the dynamic programme is kept as bits, 62 in a word: where a bit is 0 the length grows by one. A term of ``right`` turns
+    one row into the next with an addition whose carry runs through the words, so a term costs a few operations for each word
+    and nothing is copied but the words themselves.
+    """
+    words = f"sequence(0, CAST((size({left}) - 1) div 62 AS INT))"
+    width = f"least(62, size({left}) - 62 * l)"
+    mask = f"aggregate(sequence(0, {width} - 1), 0L, (m, i) -> if(get({left}, 62 * l + i) = y, m | shiftleft(1L, i), m))"
+    step = (
+        f"aggregate(transform({words}, l -> named_struct('v', get(v, l), 'm', {mask})), named_struct('c', 0L, 'o', cast(array() AS array<bigint>)), "
+        "(s, w) -> named_struct('c', shiftright(w.v + (w.v & w.m) + s.c, 62), 'o', concat(s.o, array(((w.v + (w.v & w.m) + s.c) & 4611686018427387903L) | (w.v & ~w.m)))), s -> s.o)"
+    )
+    start = f"transform({words}, l -> shiftleft(1L, {width}) - 1)"
+    zeros = f"aggregate(transform({words}, l -> {width} - bit_count(get(v, l) & (shiftleft(1L, {width}) - 1))), 0, (n, z) -> n + z)"
+    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0).otherwise(F.expr(f"aggregate({right}, {start}, (v, y) -> {step}, v -> {zeros})"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(right) - 1), F.array().cast("array<int>"), cell)
 
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0).otherwise(
-        F.aggregate(left, zero, row, lambda last: F.element_at(last, -1))
-    )
+def terms_like(text: Column, wanted: Column) -> Column:
+    """``T.terms`` of a text without those that are not in ``wanted``, in order and with repeats.
+
+    Stemming leaves a word's first three letters, so only words that begin like a wanted term are stemmed at all.
+    """
+    heads = F.transform(wanted, lambda t: F.substring(t, 1, 3))
+    alike = F.filter(T.content_words(text), lambda w: F.array_contains(heads, F.substring(w, 1, 3)))
+    return F.filter(T.stemmed(alike), lambda t: F.array_contains(wanted, t))

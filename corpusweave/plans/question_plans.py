@@ -151,8 +151,8 @@ def title_subsequence(t):
     lines = bind(t.documents.select("doc_id", "text"), ls=T.lines(F.coalesce("text", F.lit(""))))
     titles = bind(lines, title=T.terms(F.coalesce(F.get("ls", 0), F.lit(""))))
     later = titles.select("doc_id", "title", F.posexplode_outer(F.slice("ls", 2, F.greatest(F.size("ls") - 1, F.lit(0)))).alias("at", "later"))
-    pairs = bind(later, body=T.terms(F.coalesce("later", F.lit(""))))
-    lcs = bind(pairs, overlap=Qn.common_subsequence(F.col("title"), F.col("body")))
+    pairs = bind(later, body=Qn.terms_like(F.coalesce("later", F.lit("")), F.col("title")))
+    lcs = bind(pairs, overlap=Qn.common_subsequence("title", "body"))
     return lcs.select(
         "doc_id", (F.col("at") + 2).alias("line"), F.size("title").alias("title_terms"), "overlap",
         ((F.col("overlap") >= 3) & (F.col("overlap") >= F.ceil(0.75 * F.size("title")))).alias("matches"),

@@ -91,7 +91,7 @@ def test_strip_instructions(spark):
 def test_concepts_and_subsequence(spark):
     assert value(spark, Qn.comparison_concepts(F.col("q")), q="Compare a, b and c") == ["a", "b", "c"]
     assert value(spark, Qn.comparison_concepts(F.col("q")), q="x vs y?") == ["x", "y"]
-    assert value(spark, Qn.common_subsequence(F.col("a"), F.col("b")), a=["p", "q", "r", "s"], b=["q", "x", "s", "p"]) == 2
+    assert value(spark, Qn.common_subsequence("a", "b"), a=["p", "q", "r", "s"], b=["q", "x", "s", "p"]) == 2
 
 
 @pytest.mark.parametrize(
