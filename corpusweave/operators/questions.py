@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,6 +20,10 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike("(?i)" + pattern)
 
 
+def any_match(text: Column, patterns: Sequence[str]) -> Column:
+    return reduce(or_, [matches(text, p) for p in patterns])
+
+
 def _case(text: Column, table: Mapping[str, str], otherwise: str | None) -> Column:
     out = None
     for label, pattern in table.items():
@@ -67,7 +73,7 @@ def primary_intent(text: Column) -> Column:
 
 def question_class(text: Column) -> Column:
     """Exclusive class that drives answer selection: comparison, causal, workflow, definition, general."""
-    comparison = matches(text, Q.CUES["comparison"]) | matches(text, Q.COMPARISON_WORDS)
+    comparison = any_match(text, Q.CUES["comparison"]) | matches(text, Q.COMPARISON_WORDS)
     return (
         F.when(comparison, "comparison")
         .when(matches(text, Q.CAUSAL_QUESTION), "causal")
@@ -83,8 +89,7 @@ def _frame_stems() -> Column:
 
 
 def kinds(text: Column) -> Column:
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(k)) for k, p in Q.CUES.items()]))
+    return F.array_compact(F.array(*[F.when(any_match(F.lower(text), p), F.lit(k)) for k, p in Q.CUES.items()]))
 
 
 def focus_terms(text: Column) -> Column:

@@ -56,9 +56,13 @@ def _rx(pattern):
     return "'(?i)" + pattern.replace("'", "''") + "'"
 
 
+def _any(text, patterns):
+    return "(" + " OR ".join(f"regexp_matches({text}, {_rx(p)})" for p in patterns) + ")"
+
+
 def _intents_sql(source):
     return f"""{source}, i AS (SELECT conv_id, turn, list_filter([{', '.join(f"CASE WHEN regexp_matches(question, {_rx(p)}) THEN '{k}' END" for k, p in Q.INTENTS.items())}], lambda x: x IS NOT NULL) AS it,
-    CASE WHEN regexp_matches(question, {_rx(Q.CUES['comparison'])}) OR regexp_matches(question, {_rx(Q.COMPARISON_WORDS)}) THEN 'comparison' WHEN regexp_matches(question, {_rx(Q.CAUSAL_QUESTION)}) THEN 'causal'
+    CASE WHEN {_any('question', Q.CUES['comparison'])} OR regexp_matches(question, {_rx(Q.COMPARISON_WORDS)}) THEN 'comparison' WHEN regexp_matches(question, {_rx(Q.CAUSAL_QUESTION)}) THEN 'causal'
     WHEN regexp_matches(question, {_rx(Q.PROCESS_QUESTION)}) THEN 'workflow' WHEN regexp_matches(question, {_rx(Q.DEFINITION_QUESTION)}) THEN 'definition' ELSE 'general' END AS question_class FROM dq)
     SELECT conv_id, turn, coalesce(it[1], 'general') AS primary_intent, array_to_string(it, ',') AS intents, question_class FROM i"""
 
@@ -81,7 +85,7 @@ CUE = f"list_transform({S.quoted(Q.CUE_WORDS)}, lambda w: {S.stem2('w')})"
 
 
 def _needs_sql(source):
-    return f"""{source}, k AS (SELECT conv_id, turn, question, list_filter([{', '.join(f"CASE WHEN regexp_matches(lower(question), '{p}') THEN '{n}' END" for n, p in Q.CUES.items())}], lambda x: x IS NOT NULL) AS kinds,
+    return f"""{source}, k AS (SELECT conv_id, turn, question, list_filter([{', '.join(f"CASE WHEN {_any('lower(question)', p)} THEN '{n}' END" for n, p in Q.CUES.items())}], lambda x: x IS NOT NULL) AS kinds,
     list_filter(list_distinct({S.terms2('question')}), lambda x: NOT list_contains({FRAME}, x)) AS plain, regexp_extract_all(lower(replace(question, '-', ' ')), '[a-z0-9][a-z0-9_]*') AS tk FROM dq),
     a AS (SELECT *, list_filter(plain, lambda x: NOT list_contains({CUE}, x)) AS reduced, list_filter(list_transform(tk, lambda w, i: CASE WHEN w IN ('which', 'what') OR (w IN ('many', 'much') AND i > 1 AND tk[i - 1] = 'how') THEN
         list_transform(list_filter(tk[i + 1:i + 4], lambda x: length(x) > 2 AND NOT list_contains({S.quoted(rules.STOP_WORDS | rules.ASK_SKIP_WORDS)}, x) AND NOT list_contains({FRAME}, {S.stem2('x')})), lambda x: {S.stem2('x')})[1] END), lambda x: x IS NOT NULL) AS asked FROM k)
