@@ -33,7 +33,8 @@ def decide(recent: list[int], instants: list[tuple[int, int]], limit: int, width
 class RateLimiter(StatefulProcessor):
     """Requests wait until the watermark has passed their instant, then they are decided in time order.
 
-    ``recent`` holds at most ``limit`` accepted instants of a client, ``waiting`` the requests the watermark has not passed.
+    ``recent`` holds at most ``limit`` accepted instants of a client, ``waiting`` the requests the watermark has not passed. A request
+    that is delivered again while it waits is found there by its id; later than that it is late, so no ids need to be kept.
     """
 
     def __init__(self, limit: int, width: int):
@@ -42,13 +43,13 @@ class RateLimiter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.recent = handle.getListState("recent", "us long")
-        self.waiting = handle.getListState("waiting", "us long, n long")
+        self.waiting = handle.getListState("waiting", "us long, id long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        counts = pd.concat([r["us"] for r in rows]).value_counts().sort_index()
-        self.waiting.appendList([(int(us), int(n)) for us, n in counts.items()])
+        new = pd.concat([r[["us", "id"]] for r in rows])
+        self.waiting.appendList([(int(us), None if pd.isna(i) else int(i)) for us, i in zip(new["us"], new["id"])])
         # One timer for what came last; anything earlier is decided with it at the latest.
-        self.handle.registerTimer(-(-int(counts.index[-1]) // 1000))
+        self.handle.registerTimer(-(-int(new["us"].max()) // 1000))
         yield from self.decided(key, timerValues)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -57,12 +58,15 @@ class RateLimiter(StatefulProcessor):
     def decided(self, key: tuple, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         due: dict[int, int] = {}
-        later = []
-        for us, n in self.waiting.get():
+        later, known = [], set()
+        for us, event in self.waiting.get():
+            if event is not None and (us, event) in known:
+                continue
+            known.add((us, event))
             if us <= passed:
-                due[us] = due.get(us, 0) + n
+                due[us] = due.get(us, 0) + 1
             else:
-                later.append((us, n))
+                later.append((us, event))
         if not due:
             return
         recent = [us for us, in self.recent.get()]
@@ -87,12 +91,13 @@ def stream_rate_limit(
 ) -> DataFrame:
     """``user_id, us, requests, accepted, rejected`` of a streaming ``event_id, user_id, ts`` table, once an instant is final.
 
-    An event that is delivered again within the lateness is dropped by its id, so a repeated batch changes nothing. Events older than the
-    watermark are late and not decided. The decisions are those of ``operators.logs.rate_limit`` over the whole table.
+    An event that is delivered again is dropped, by its id or because it is late, so a repeated batch changes nothing; events without id
+    all count. Events older than the watermark are late and not decided. The decisions are those of ``operators.logs.rate_limit`` over
+    the whole table.
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    once = events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
-    keyed = once.select(F.col("user_id").cast("long").alias("user_id"), "ts", F.unix_micros("ts").alias("us"))
+    marked = events.withWatermark("ts", lateness)
+    keyed = marked.select(F.col("user_id").cast("long").alias("user_id"), "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("id"))
     decided = keyed.groupBy("user_id").transformWithStateInPandas(RateLimiter(limit, seconds * 1_000_000), OUTPUT, "append", "eventTime")
     return decided.withColumnRenamed("key", "user_id")
