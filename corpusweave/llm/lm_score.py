@@ -79,6 +79,51 @@ def part_of(keys: np.ndarray, number: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(number)) >> np.uint64(32)).astype(np.int64)
 
 
+def apart(keys: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys as their part and the distance from the key before in the part, or from where the part begins.
+
+    Parts are a power of two in number and are the keys' upper bits.
+    """
+    slot = part_of(keys, number)
+    step = keys - (slot.astype(np.uint64) << np.uint64(64 - (number.bit_length() - 1)))
+    same = np.flatnonzero(slot[1:] == slot[:-1]) + 1
+    step[same] = keys[same] - keys[same - 1]
+    return slot, step
+
+
+def row_planes(steps: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` low bytes of the steps; of each row (from one place of ``first`` to the next) all lowest bytes, then all next ones.
+
+    Few steps need all bytes, so the upper ones are runs of zeros, which take no room in a shuffle.
+    """
+    size = np.diff(np.append(first, len(steps))).astype(np.int32)
+    place = np.arange(len(steps), dtype=np.int32) + np.repeat((width - 1) * first.astype(np.int32), size)
+    size, out = np.repeat(size, size), np.empty(len(steps) * width, np.uint8)
+    low = steps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for byte in range(width):
+        out[place] = low[:, byte]
+        place += size
+    return out.view(f"V{width}")
+
+
+def together(steps: list[bytes], widths: list[int], part: int, number: int) -> np.ndarray:
+    """The keys of several rows of one part."""
+    out = np.zeros(sum(len(s) // w for s, w in zip(steps, widths)), np.uint64)
+    begins = np.cumsum([0, *(len(s) // w for s, w in zip(steps, widths))])
+    for width in set(widths):
+        rows = [n for n, w in enumerate(widths) if w == width]
+        low = np.concatenate([np.frombuffer(steps[n], np.uint8).reshape(width, -1).T for n in rows])
+        full = np.zeros((len(low), 8), np.uint8)
+        full[:, :width] = low
+        value = full.view("<u8").ravel().astype(np.uint64)
+        size = np.array([len(steps[n]) // width for n in rows])
+        first = np.cumsum(size) - size
+        total = np.cumsum(value)  # sums wrap around and so do differences
+        value = total - np.repeat(total[first] - value[first], size)
+        out[np.repeat(begins[rows] - first, size) + np.arange(len(value))] = value
+    return out + (np.uint64(part) << np.uint64(64 - (number.bit_length() - 1)))
+
+
 def build_part(keys: np.ndarray, levels: np.ndarray) -> tuple[int, bytes]:
     """(lowest level, bits) of a part: an n-gram of level q is entered once for each level up to q, from 1 on."""
     reach = np.cumsum(np.bincount(levels)[::-1])[::-1] if len(levels) else np.zeros(1, np.int64)  # n-grams of at least a level
@@ -293,14 +338,14 @@ def train(docs: DataFrame, scratch: Scratch, number: int) -> DataFrame:
     return filters
 
 
-def answers(filters: DataFrame, asked: DataFrame) -> DataFrame:
-    """``block, slot, levels`` for ``block, slot, keys``: keys go to their part and come back as a byte each."""
+def answers(filters: DataFrame, asked: DataFrame, number: int) -> DataFrame:
+    """``block, slot, levels`` for ``block, slot, keys, width``: keys go to their part and come back as a byte each."""
     names = ["block", "slot", "levels"]
 
     def run(batches):
         part, own, waiting = None, None, []
         for batch in batches:
-            for slot, lowest, bits, block, keys in zip(*(c.to_pylist() for c in batch.columns)):
+            for slot, lowest, bits, block, keys, width in zip(*(c.to_pylist() for c in batch.columns)):
                 if slot != part:
                     if waiting:
                         yield probed(part, own, waiting)
@@ -308,21 +353,21 @@ def answers(filters: DataFrame, asked: DataFrame) -> DataFrame:
                 if block is None:
                     own = CountFilter([(0, lowest, bits)], 1)
                 else:
-                    waiting.append((block, keys))
+                    waiting.append((block, keys, width))
         if waiting:
             yield probed(part, own, waiting)
 
     def probed(part, own, waiting):
-        blocks, keys = zip(*waiting)
-        every = np.frombuffer(b"".join(keys), np.uint64)
+        blocks, steps, widths = zip(*waiting)
+        every = together(steps, widths, part % number, number)
         levels = (np.zeros(len(every), np.int64) if own is None else own.levels(every)).astype(np.uint8)
-        cut = np.cumsum([0, *(len(k) // 8 for k in keys)])
+        cut = np.cumsum([0, *(len(s) // w for s, w in zip(steps, widths))])
         out = [levels[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([part] * len(out), pa.int64()), pa.array(out, pa.binary())], names)
 
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("block", "long"), ("keys", "binary"))]
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("block", "long"), ("keys", "binary"), ("width", "int"))]
     rows = filters.select("slot", "lowest", "bits", *none)
-    rows = rows.unionAll(asked.select("slot", F.lit(None).cast("int"), F.lit(None).cast("binary"), "block", "keys"))
+    rows = rows.unionAll(asked.select("slot", F.lit(None).cast("int"), F.lit(None).cast("binary"), "block", "keys", "width"))
     return rows.repartition("slot").sortWithinPartitions("slot", F.col("block").asc_nulls_first()).mapInArrow(run, "block long, slot long, levels binary")
 
 
@@ -381,18 +426,23 @@ def read_block(hashed: bytes, ids: bytes, length: bytes) -> tuple[np.ndarray, np
 
 
 def questions(blocks: DataFrame, number: int) -> DataFrame:
-    """``block, slot, keys``: the different n-grams of each block by part."""
-    names = ["block", "slot", "keys"]
+    """``block, slot, keys, width``: the different n-grams of each block by part, as steps of ``width`` bytes from one to the next."""
+    names = ["block", "slot", "keys", "width"]
 
     def run(batches):
         for batch in batches:
             for block, *text in zip(*(c.to_pylist() for c in batch.columns)):
                 hashed, ids, length = read_block(*text)
                 (pairs, *_), (words, *_) = asked_of(hashed, *words_in(ids, length))
-                slot, keys = packed(np.concatenate([part_of(pairs, number), part_of(words, number) + number]), np.concatenate([pairs, words]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), block, np.int64)), slot, keys], names)
+                (pair_slot, pair_step), (word_slot, word_step) = apart(pairs, number), apart(words, number)
+                steps = np.concatenate([pair_step, word_step])
+                width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+                slots = np.concatenate([pair_slot, word_slot + number])
+                slot, keys = packed(slots, row_planes(steps, starts(slots), width))
+                columns = [pa.array(np.full(len(slot), block, np.int64)), slot, keys, pa.array(np.full(len(slot), width, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return blocks.select("block", "hashed", "ids", "length").mapInArrow(run, "block long, slot long, keys binary")
+    return blocks.select("block", "hashed", "ids", "length").mapInArrow(run, "block long, slot long, keys binary, width int")
 
 
 def pair_scores(found: DataFrame, blocks: DataFrame, room: float, ends: int) -> DataFrame:
@@ -517,7 +567,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     split = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(run, schema)
     split = scratch.write(split, "split")
     blocks = split.where("block is not null")
-    found = scratch.write(answers(filters, questions(blocks, number)), "answers")
+    found = scratch.write(answers(filters, questions(blocks, number), number), "answers")
     scratch.drop(filters)
     release_shuffles(spark)
     scores = scratch.write(pair_scores(found, blocks, room, ends), "scores")

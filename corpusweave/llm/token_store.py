@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corpusweave.llm.common import Scratch, table
 
 #: Ids of a shard, the least share of a shard's pairs a rule must stand for, pieces in the newer half of the cache.
-SHARD_IDS, RULE_SHARE, CACHED = 1 << 20, 1 / 12_000, 800_000
+SHARD_IDS, RULE_SHARE, CACHED = 1 << 20, 1 / 12_000, 350_000
 #: Pairs are sorted out roughly by this many hash slots before those that may be frequent are counted one by one.
 SLOTS = 1 << 20
 END = 0
