@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from corpusweave import rules
 from corpusweave.functions.binding import bind
-from corpusweave.operators import chunk_audit as A, corpus as C, html as H, segment as G
+from corpusweave.operators import chunk_audit as A, corpus as C, html as H, provenance as Pv, segment as G
 from corpusweave.operators.ordering import micros
 from corpusweave.plans import sqlkit as S
 from corpusweave.plans.registry import query
+from corpusweave.session import materialise
 
 CHUNKS = f"""WITH chunk_arrays AS (SELECT doc_id, lang, source, {S.chunk_list('text')} AS cs FROM documents),
 chunks AS (SELECT doc_id, lang, source, len(cs) AS chunk_count, unnest(cs) AS chunk_text,
@@ -244,3 +245,34 @@ def retrieval_units(t):
 )
 def flat_text_blocks(t):
     return H.flat_text_blocks(t.documents, "doc_id", "text")
+
+
+SPOILT = """s AS (SELECT doc_id AS query_id, CASE k WHEN 0 THEN 'S1' WHEN 5 THEN 'X9' ELSE 'S' || (chunk_index + 1) END AS marker, CASE k WHEN 3 THEN -doc_id - 1 ELSE doc_id END AS doc_id,
+    CASE k WHEN 4 THEN chunk_index + 100000 ELSE chunk_index END AS chunk_index, CASE k WHEN 6 THEN chunk_text || '.' WHEN 7 THEN '' ELSE chunk_text END AS text,
+    CASE k WHEN 1 THEN sha256(chunk_text || '!') WHEN 8 THEN 'none' ELSE sha256(chunk_text) END AS content_hash, CASE k WHEN 2 THEN sha256('other') WHEN 9 THEN NULL ELSE page END AS page_hash
+    FROM (SELECT *, (doc_id * 7 + chunk_index) % 23 AS k FROM chunks JOIN (SELECT doc_id, sha256(text) AS page FROM documents) USING (doc_id))),
+stored AS (SELECT doc_id, chunk_index, sha256(chunk_text) AS stored_content FROM chunks), pages_of AS (SELECT doc_id, sha256(text) AS stored_page FROM documents WHERE text IS NOT NULL),
+j AS (SELECT s.*, stored_content, stored_page, count(*) OVER (PARTITION BY query_id, marker) AS n FROM s LEFT JOIN stored USING (doc_id, chunk_index) LEFT JOIN pages_of USING (doc_id)),
+f AS (SELECT query_id, marker, doc_id, chunk_index, list_filter([
+    CASE WHEN stored_content IS NULL AND stored_page IS NOT NULL THEN 'CHUNK_NOT_STORED' END, CASE WHEN text = '' THEN 'CHUNK_TEXT_MISSING' END,
+    CASE WHEN length(content_hash) = 64 AND (content_hash <> stored_content OR sha256(text) <> content_hash) THEN 'CONTENT_HASH_MISMATCH' END,
+    CASE WHEN n > 1 THEN 'DUPLICATE_MARKER' END, CASE WHEN length(content_hash) <> 64 THEN 'INVALID_CONTENT_HASH' END, CASE WHEN marker = 'X9' THEN 'INVALID_MARKER' END,
+    CASE WHEN page_hash IS NULL THEN 'INVALID_PAGE_HASH' END, CASE WHEN page_hash <> stored_page THEN 'PAGE_HASH_MISMATCH' END,
+    CASE WHEN stored_page IS NULL THEN 'PAGE_NOT_STORED' END], lambda x: x IS NOT NULL) AS failures FROM j)"""
+
+
+@query("context_provenance", f"{CHUNKS}, {SPOILT} SELECT query_id, marker, doc_id, chunk_index, array_to_string(failures, ',') AS failures FROM f WHERE len(failures) > 0")
+def context_provenance(t):
+    """All chunks as context items, some spoilt in one way or another: what is wrong with each of those, and none of the others."""
+    pages = t.documents.where("text is not null").select("doc_id", F.sha2("text", 256).alias("page_hash"))
+    chunks = bind(t.documents.select("doc_id", "text"), cs=G.pack_text(F.col("text")), page=F.sha2("text", 256))
+    chunks = materialise(chunks.select("doc_id", "page", F.posexplode("cs").alias("chunk_index", "chunk_text")).withColumn("content_hash", F.sha2("chunk_text", 256)))
+    k, c = (F.col("doc_id") * 7 + F.col("chunk_index")) % 23, F.col
+    spoilt = chunks.select(
+        c("doc_id").alias("query_id"), F.when(k == 0, "S1").when(k == 5, "X9").otherwise(F.concat(F.lit("S"), (c("chunk_index") + 1).cast("string"))).alias("marker"),
+        F.when(k == 3, -c("doc_id") - 1).otherwise(c("doc_id")).alias("doc_id"), F.when(k == 4, c("chunk_index") + 100000).otherwise(c("chunk_index")).alias("chunk_index"),
+        F.when(k == 6, F.concat("chunk_text", F.lit("."))).when(k == 7, "").otherwise(c("chunk_text")).alias("text"),
+        F.when(k == 1, F.sha2(F.concat("chunk_text", F.lit("!")), 256)).when(k == 8, "none").otherwise(c("content_hash")).alias("content_hash"),
+        F.when(k == 2, F.sha2(F.lit("other"), 256)).when(k == 9, F.lit(None)).otherwise(c("page")).alias("page_hash"),
+    )
+    return Pv.context_failures(spoilt, chunks.select("doc_id", "chunk_index", "content_hash"), pages)
