@@ -13,14 +13,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from corpusweave.llm.common import Scratch, table
+from corpusweave.llm.common import Scratch, release_shuffles, table
 
 MARK = "▁"
 #: Words of the table's head, which every task holds, and their greatest length: at most 64 MB of text, about 3 MB of English. The head
 #: decides where a word is looked up and nothing else; all other words go through the join.
 HEAD, HEAD_CHARS = 1 << 18, 64
 #: Characters of a block of texts, different words a task counts at once, times a word must occur among these to be proposed for the head.
-BLOCK_CHARS, COUNTED, REPEATED = 12_000_000, 1 << 19, 6
+BLOCK_CHARS, COUNTED, REPEATED = 12_000_000, 1 << 19, 2
 #: Words outside the head a bucket gets on average.
 BUCKET_WORDS = 1 << 17
 CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
@@ -258,6 +258,7 @@ def encode(docs: DataFrame, model: str | None = None, decoded: bool = False) ->
     check_model(model)
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "pieces")
     top = frequent(docs, model)
+    release_shuffles(spark)
     head, head_ids = Named(spark, [w for w, _ in top]), Named(spark, packed([ids for _, ids in top]))
     dealt = scratch.write(blocks(docs, head), "blocks")
     others = dealt.agg(F.sum("n_others")).first()[0] or 0
