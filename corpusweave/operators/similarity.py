@@ -2,6 +2,7 @@
 
 Pairs are never rows. A task multiplies one block of stored vectors with one block of queries and
 ships only the best ``k`` per query, so the shuffle carries ``queries x blocks x k`` short rows.
+The product is made in tiles of a few queries, so a task's memory does not grow with either side.
 
 Two layouts share that kernel. A query side whose measured size is below ``BROADCAST_BYTES`` is
 broadcast as one matrix and the stored vectors are read once without a shuffle. A larger query side
@@ -26,6 +27,7 @@ from corpusweave.session import materialise
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 2048
+TILE_CELLS = 1 << 20  # scores that exist at a time in a task: 8 MB, and a few temporaries of that size
 DECIMALS = 6
 
 HITS = StructType(
@@ -100,6 +102,18 @@ def _hits(qids, qgroups, vids, vgroups, scores, k, mode) -> pa.RecordBatch:
     )
 
 
+def _products(qids, qgroups, qmat, vids, vgroups, vmat, k, metric, mode, exclude_self) -> Iterator[pa.RecordBatch]:
+    """Hits of one block of queries in one block of vectors, a tile of queries at a time."""
+    step = max(1, TILE_CELLS // max(1, len(vids)))
+    for start in range(0, len(qids), step):
+        own = slice(start, start + step)
+        scores = _scores(qmat[own], vmat, metric)
+        if exclude_self:
+            scores[qids[own, None] == vids[None, :]] = -np.inf
+        batch = _hits(qids[own], qgroups[own], vids, vgroups, scores, k, mode)
+        yield batch.filter(pa.compute.is_finite(batch.column("score"))) if exclude_self else batch
+
+
 def nearest(
     queries: DataFrame,
     vectors: DataFrame,
@@ -121,12 +135,8 @@ def nearest(
     size = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     bytes_needed = size[0] * (size[1] * 8 + 16)
 
-    def product(qids, qgroups, qmat, vids, vgroups, vmat):
-        scores = _scores(qmat, vmat, metric)
-        if exclude_self:
-            scores[qids[:, None] == vids[None, :]] = -np.inf
-        batch = _hits(qids, qgroups, vids, vgroups, scores, k, mode)
-        return batch.filter(pa.compute.is_finite(batch.column("score"))) if exclude_self else batch
+    def product(*blocks):
+        return _products(*blocks, k, metric, mode, exclude_self)
 
     if bytes_needed <= broadcast_bytes:
         rows = queries.toArrow()
@@ -141,7 +151,7 @@ def nearest(
             qids, qgroups, qmat = shared.value
             for batch in batches:
                 if batch.num_rows and len(qids):
-                    yield product(
+                    yield from product(
                         qids, qgroups, qmat, batch.column("vec_id").to_numpy(), batch.column("group_id").to_numpy(),
                         _matrix(batch.column("embedding")),
                     )
@@ -180,7 +190,7 @@ def _grid(queries, vectors, product, block_rows, own) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 q, v = batch.column("_q")[i].values, batch.column("_rows")[i].values
-                yield product(
+                yield from product(
                     q.field("query_id").to_numpy(), q.field("group_id").to_numpy(), _matrix(q.field("embedding")),
                     v.field("vec_id").to_numpy(), v.field("group_id").to_numpy(), _matrix(v.field("embedding")),
                 )

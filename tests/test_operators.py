@@ -2,8 +2,10 @@
 
 import json
 import random
+import tracemalloc
 from collections import Counter, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -85,6 +87,18 @@ def test_grid_and_broadcast_layouts_agree(spark, sf, mode):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+@pytest.mark.parametrize("mode", ["all", "own", "each"])
+def test_products_hold_no_whole_score_matrix(mode):
+    rng = np.random.default_rng(3)
+    n = 4000  # all scores at once would be 128 MB
+    ids, groups, vectors = np.arange(n), rng.integers(0, 5, n), rng.standard_normal((n, 8))
+    tracemalloc.start()
+    hits = sum(b.num_rows for b in V._products(ids, groups, vectors, ids, groups, vectors, 3, "cosine", mode, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hits == n * 3 * (5 if mode == "each" else 1) and peak < 64e6
+
+
 # ---------------------------------------------------------------- lexical
 def test_bm25_fill_and_minmax(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["meter reading", "meter billing", "gas", "water", "wind"])], "doc_id long, text string")
