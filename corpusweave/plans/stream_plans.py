@@ -13,8 +13,9 @@ from corpusweave.streaming import conversation_state, ingest, rate_limit, window
 
 
 def _stream(t, table):
+    # A stream reads folders; the pattern, which only this name fits, also takes a table that is a single file.
     schema = getattr(t, table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+    return t.spark.readStream.schema(schema).parquet(f"{t.folder}/{table}.parque[t]")
 
 
 def _events(t, folder, *more):

@@ -9,8 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusweave.operators import reuse
+from corpusweave.plans import load_all
+from corpusweave.plans.registry import CATALOG
 from corpusweave.streaming import ingest, rate_limit
 
+load_all()
+
 
 # rate limit
 
@@ -113,3 +117,18 @@ def test_no_touches(spark):
     empty = spark.createDataFrame([], "user_id long, ts timestamp")
     assert reuse.evictions(empty, "user_id", "ts", 3).count() == 0
     assert reuse.reuse_distances(empty.select(F.col("user_id"), F.col("ts")), "user_id", "ts").columns == ["user_id", "us", "pos", "before_us", "distance"]
+
+
+# tables as streams
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_ingest_of_a_table_in_one_file_or_a_folder(files, spark, tmp_path):
+    """A large table is a folder of files; a small one may be a single file of the same name."""
+    docs = spark.range(30).selectExpr("id as doc_id", "'en' as lang", "'s1' as source", "concat('Text ', id, '.') as text")
+    if files > 1:
+        docs.repartition(files).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(1).write.parquet(f"{tmp_path}/documents.parquet.old")
+    assert [tuple(r) for r in CATALOG["stream_ingest"](spark, str(tmp_path)).collect()] == [(30, 30)]
