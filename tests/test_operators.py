@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from corpusweave import rules
+from corpusweave.functions import text as T
 from corpusweave.operators import (
-    chunk_audit as A, citations as Ci, context as X, corpus as C, hierarchy as H, html as Hm, identity as I, lexical as L, logs as Lg, metrics as M, ordering as O,
+    chunk_audit as A, citations as Ci, concepts as Co, context as X, corpus as C, hierarchy as H, html as Hm, identity as I, lexical as L, logs as Lg, metrics as M, ordering as O,
     phrases as P, segment as G, similarity as V,
 )
 from corpusweave.operators.questions import resolve_followups
@@ -99,6 +100,36 @@ def test_products_hold_no_whole_score_matrix(mode):
     assert hits == n * 3 * (5 if mode == "each" else 1) and peak < 64e6
 
 
+# ---------------------------------------------------------------- concepts
+@pytest.mark.parametrize("shortlist", [1, 3, 1000])
+def test_topics_of_concepts_are_those_of_all_pairs(shortlist, spark):
+    dice = random.Random(9)
+    words = ["meter", "meters", "reading", "gas", "bill", "billing", "overview", "north", "plant", "lamp"]
+    concepts = [(i, 0, " ".join(dice.sample(words, dice.randint(1, 2))), " ".join(dice.sample(words, 1))) for i in range(40)]
+    titles = [(i, " ".join(dice.choices(words, k=dice.randint(1, 9)))) for i in range(120)]
+    asked = spark.createDataFrame(concepts, "q int, concept_no int, concept string, others string")
+    cards = spark.createDataFrame(titles, "topic_id long, title string")
+    found = Co.topics_for_concepts(asked, cards, ["q"], shortlist=shortlist).collect()
+
+    plain = {w: r.s for w, r in zip(words, spark.createDataFrame([(w,) for w in words], "w string").select(T.term_set(F.col("w"))[0].alias("s")).collect())}
+    terms = lambda text: {plain[w] for w in text.split()}
+    first = {}
+    for i, title in titles:
+        first.setdefault(title, i)
+    want = {}
+    for q, _, concept, others in concepts:
+        cw, ow, ct, rows = set(concept.split()), set(others.split()), terms(concept), []
+        for title, i in first.items():
+            tw, tt = set(title.split()), terms(title)
+            own, shared = len((cw - ow) & tw), len(ct & tt)
+            if own or shared:
+                score = 10 * own + 8 * (concept in title) + 3 * shared - 15 * bool((ow - cw) & tw) - 10 * ("overview" in title) - len(tt - ct)
+                rows.append((-score, i))
+        if rows:
+            want[q] = (min(rows)[1], -min(rows)[0])
+    assert {r.q: (r.topic_id, r.score) for r in found} == want
+
+
 # ---------------------------------------------------------------- lexical
 def test_bm25_fill_and_minmax(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["meter reading", "meter billing", "gas", "water", "wind"])], "doc_id long, text string")
