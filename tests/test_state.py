@@ -5,6 +5,7 @@ import random
 from collections import OrderedDict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,18 @@ def test_ingest_of_a_table_in_one_file_or_a_folder(files, spark, tmp_path):
         docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
     docs.limit(1).write.parquet(f"{tmp_path}/documents.parquet.old")
     assert [tuple(r) for r in CATALOG["stream_ingest"](spark, str(tmp_path)).collect()] == [(30, 30)]
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark, tmp_path):
+    """A session that says nothing gives Python ten thousand texts at a time, however long."""
+    own = spark.newSession()
+    own.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    own.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('x ', 2000) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert CATALOG["clean_documents"](own, str(tmp_path)).count() == 3000
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    rows = own.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1).mapInArrow(sizes, "n long")
+    assert max(r.n for r in rows.collect()) < 8 << 20
