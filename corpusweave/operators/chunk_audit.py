@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusweave import rules
@@ -64,18 +65,47 @@ def offset_audit(chunks: DataFrame, docs: DataFrame, doc_id: str, text: str) ->
     )
 
 
+def longest_repeat(prev: str, cur: str, least: int) -> int:
+    """Longest suffix of ``prev`` (at least ``least`` characters) that ``cur`` starts with, else 0.
+
+    The first characters of ``cur`` are looked for in ``prev``. Texts that hold them over and over get the border table
+    of the prefix instead, so the time is in proportion to the lengths, not to their product.
+    """
+    most = min(len(prev), len(cur))
+    if most < least:
+        return 0
+    tail, head, at = prev[len(prev) - most :], cur[:least], -1
+    for _ in range(64):
+        at = tail.find(head, at + 1)
+        if at < 0:
+            return 0
+        if cur.startswith(tail[at:]):
+            return most - at
+    border, k = [0] * most, 0
+    for i in range(1, most):
+        while k and cur[i] != cur[k]:
+            k = border[k - 1]
+        k += cur[i] == cur[k]
+        border[i] = k
+    k = 0
+    for c in tail:
+        if k == most:
+            k = border[k - 1]
+        while k and c != cur[k]:
+            k = border[k - 1]
+        k += c == cur[k]
+    return k if k >= least else 0
+
+
 def overlap_repeat(prev: Column, cur: Column, least: int) -> Column:
-    """Longest suffix of ``prev`` (at least ``least`` characters) that ``cur`` starts with, else 0."""
-    head = F.substring(cur, 1, least)
-    sizes = F.sequence(F.lit(least), F.least(F.length(prev), F.length(cur)))
-    # The short head is compared first, so full comparisons only happen where it fits.
-    hits = F.filter(
-        sizes,
-        lambda k: (F.substring(prev, F.length(prev) - k + 1, F.lit(least)) == head)
-        & (F.right(prev, k) == F.left(cur, k)),
-    )
-    enough = F.least(F.length(prev), F.length(cur)) >= least
-    return F.when(enough, F.coalesce(F.array_max(hits), F.lit(0))).otherwise(0)
+    """``longest_repeat`` of two columns; null where one is null."""
+
+    @F.pandas_udf("int")
+    def repeats(left: pd.Series, right: pd.Series) -> pd.Series:
+        found = [None if a is None or b is None else longest_repeat(a, b, least) for a, b in zip(left, right)]
+        return pd.Series(found, dtype="Int32")
+
+    return repeats(prev, cur)
 
 
 def adjacent_repeats(chunk_arrays: DataFrame, doc_id: str, chunks: str, least: int = rules.MIN_ADJACENT_REPEAT) -> DataFrame:
