@@ -1,5 +1,8 @@
 """Closed-form values of the text kernel, questions and follow-ups."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +110,19 @@ def test_incomplete_lead_in(spark):
     assert value(spark, Ev.incomplete_lead_in(F.col("s"), F.lit(None).cast("string"), empty), s="Do the following:") is True
     assert value(spark, Ev.incomplete_lead_in(F.col("s"), F.lit("1. Open the app."), empty), s="Do the following:") is False
     assert value(spark, Ev.incomplete_lead_in(F.col("s"), F.lit(""), F.array(F.lit("- Chart : Bar"))), s="Views:") is True
+
+
+def test_longest_repeat():
+    from corpusweave.operators.chunk_audit import longest_repeat
+
+    plain = lambda a, b, n: max((k for k in range(n, min(len(a), len(b)) + 1) if a[-k:] == b[:k]), default=0)
+    dice = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(dice.choices("abé" if dice.random() < 0.5 else "a", k=dice.randint(0, 90))) for _ in range(2))
+        b = a[-dice.randint(1, 40) :] + b if a and dice.random() < 0.5 else b
+        n = dice.randint(1, 12)
+        assert longest_repeat(a, b, n) == plain(a, b, n)
+    started = time.time()
+    # Compared size by size, these would be 10^10 steps a pair.
+    assert longest_repeat("ab" * 50_000, "ab" * 49_000 + "c", 12) == 0 and longest_repeat("x" + "ab" * 50_000, "ab" * 50_000 + "c", 12) == 100_000
+    assert time.time() - started < 10
