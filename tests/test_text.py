@@ -126,3 +126,15 @@ def test_longest_repeat():
     # Compared size by size, these would be 10^10 steps a pair.
     assert longest_repeat("ab" * 50_000, "ab" * 49_000 + "c", 12) == 0 and longest_repeat("x" + "ab" * 50_000, "ab" * 50_000 + "c", 12) == 100_000
     assert time.time() - started < 10
+
+
+def test_low_quality_long_label(spark):
+    # One line of 6,000 sentences is its own label: with the label's form made for each sentence this takes minutes.
+    text = " ".join(f"Value {i} is set." for i in range(6000))
+    docs = spark.createDataFrame([(1, text), (2, "Menu\nMenu\nThis is set.")], "doc_id long, text string")
+    tables = type("Tables", (), {"documents": docs})()
+    from corpusweave.plans.answer_plans import sentence_quality
+
+    started = time.time()
+    assert {r.doc_id: (r.sentences, r.low_quality) for r in sentence_quality(tables).collect()} == {1: (6000, 0), 2: (3, 2)}
+    assert time.time() - started < 30
