@@ -7,10 +7,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusweave.llm.common import map_rows, table
+from corpusweave.operators.ordering import top_k
+from corpusweave.session import materialise
 
 MIN_WORDS, REPEAT_SHARE, WINDOW = 20, 30, 8
-#: Labelled rows the forest and its limit may be fitted on, trees, rows and depth of a tree, and good rows the limit may cost.
-LABELLED, TREES, TREE_ROWS, DEPTH, GOOD_LOST = 20_000, 128, 256, 12, 0.001
+#: Trees, rows and depth of a tree, and good rows the limit may cost.
+TREES, TREE_ROWS, DEPTH, GOOD_LOST = 128, 256, 12, 0.001
+#: Scores are multiples of this, so that those of any number of rows are counted exactly in bounded room.
+SCORE_STEP = 2.0**-20
 SYMBOLS, CAPITALS = b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of letters: A-Z, a-z and all of characters beyond ASCII.
 LETTERS = bytes([*CAPITALS, *CAPITALS.lower(), *range(128, 256)])
@@ -123,7 +127,7 @@ class IsolationForest:
                 down = 2 * node + (rows[np.arange(len(rows)), np.maximum(f, 0)] >= cut[node])
                 node = np.where(inner, down, node)
             total += path[node]
-        return np.exp2(-total / len(self.feature) / max(usual_path(self.size), 1e-9))
+        return np.round(np.exp2(-total / len(self.feature) / max(usual_path(self.size), 1e-9)) / SCORE_STEP) * SCORE_STEP
 
 
 def usual_path(n: int) -> float:
@@ -131,30 +135,57 @@ def usual_path(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> tuple[IsolationForest, float] | None:
-    """(forest, score limit) from at most ``limit`` labelled rows, picked by hash; None without a good row.
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float] | None:
+    """(forest, score limit) from every labelled row; None without a good row.
 
     Trees see good rows only, so a text is unusual if it is unlike good ones. The limit is the one that tells
     the labelled bad rows best from the good, among those that lose at most ``GOOD_LOST`` of the good. Rows the hard
-    limits reject are left out.
+    limits reject are left out. The span, the scores and the limit are those of all labelled rows. A tree's rows are, as the
+    method has it, a small draw: from all good rows, or, if trees do not need them all, from a share that their hashes deal it.
     """
     own = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
-    chosen = own.orderBy(F.xxhash64("id"), "id").limit(limit)
-    rows = docs.join(F.broadcast(chosen), docs.doc_id == chosen.id).select(docs.doc_id, docs.text, "quality")
-    found = text_statistics(rows).join(chosen.withColumnRenamed("id", "doc_id"), "doc_id")
-    found = found.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).orderBy("doc_id", "n_words", "features")
-    found = found.select("quality", "features").limit(limit).collect()
-    if not any(r.quality for r in found):
+    rows = docs.join(own, docs.doc_id == own.id).select(docs.doc_id, docs.text)
+    found = text_statistics(rows).join(own.withColumnRenamed("id", "doc_id"), "doc_id")
+    found = materialise(found.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", "n_words", "quality", "features"))
+    ends = [f(F.get("features", F.lit(i))).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(len(FEATURES))]
+    edges = found.agg(*ends, F.count_if(F.col("quality") > 0).alias("good")).first()
+    if not edges.good:
         return None
-    features, good = np.array([r.features for r in found]), np.array([r.quality > 0 for r in found])
-    forest = IsolationForest(features[good], features)
-    score = forest.score(features)
-    highest = np.sort(score[good])[::-1]
-    floor = highest[min(int(GOOD_LOST * len(highest)), len(highest) - 1)]
-    places = np.unique(score[score >= floor])
+    good = found.where("quality > 0")
+    if edges.good > TREES * TREE_ROWS:
+        deal = F.xxhash64("doc_id", "n_words", "features")
+        good = top_k(good.withColumn("tree", F.pmod(deal, F.lit(TREES))), ["tree"], [F.xxhash64(deal), F.col("doc_id")], TREE_ROWS)
+    features = np.array([r.features for r in good.orderBy("doc_id", "n_words", "features").select("features").collect()])
+    forest = IsolationForest(features, np.array(edges[: 2 * len(FEATURES)]).reshape(2, -1))
+    return forest, _limit(*_score_counts(found, forest))
+
+
+def _score_counts(found: DataFrame, forest: IsolationForest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different scores of all rows in ascending order (at most 1 / ``SCORE_STEP``), good and bad rows of each."""
+    model = found.sparkSession.sparkContext.broadcast(forest)
+
+    def make(batch: pa.RecordBatch) -> dict:
+        rows = np.array(batch.column(1).to_pylist(), float).reshape(-1, len(FEATURES))
+        return {"quality": batch.column(0), "score": model.value.score(rows)}
+
+    scored = map_rows(found.select(F.col("quality").cast("long").alias("quality"), "features"), make, "quality long, score double")
+    good = F.col("quality") > 0
+    counts = scored.groupBy("score").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad")).orderBy("score").toArrow()
+    return tuple(counts[c].to_numpy() for c in ("score", "good", "bad"))
+
+
+def _limit(scores: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The limit from the different scores, ascending, with their numbers of good and bad rows."""
+    n_good, n_bad = int(good.sum()), int(bad.sum())
+    above = np.cumsum(good[::-1])[::-1]  # good rows of this score or higher
+    floor = scores[np.flatnonzero(above > min(int(GOOD_LOST * n_good), n_good - 1))[-1]]
+    used = scores >= floor
+    places, good, bad = scores[used], good[used], bad[used]
     places = np.append((places[1:] + places[:-1]) / 2, places[-1] + 0.05)
-    gain = [(score[~good] > p).mean() - (score[good] > p).mean() if (~good).any() else 0.0 for p in places.tolist()]
-    return forest, float(places[int(np.argmax(gain))] if (~good).any() else places[-1])
+    if not n_bad:
+        return float(places[-1])
+    higher = [np.append(np.cumsum(x[::-1])[::-1][1:], 0) for x in (bad, good)]
+    return float(places[int(np.argmax(higher[0] / n_bad - higher[1] / n_good))])
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
