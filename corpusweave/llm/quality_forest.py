@@ -136,7 +136,12 @@ def usual_path(n: int) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float] | None:
-    """(forest, score limit) from every labelled row; None without a good row.
+    """``fit_statistics`` of the texts: the labels meet their few numbers, so no text is shuffled."""
+    return fit_statistics(text_statistics(docs), labels)
+
+
+def fit_statistics(stats: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float] | None:
+    """(forest, score limit) from every labelled row of ``text_statistics``; None without a good row.
 
     Trees see good rows only, so a text is unusual if it is unlike good ones. The limit is the one that tells
     the labelled bad rows best from the good, among those that lose at most ``GOOD_LOST`` of the good. Rows the hard
@@ -144,9 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float] | N
     method has it, a small draw: from all good rows, or, if trees do not need them all, from a share that their hashes deal it.
     """
     own = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
-    rows = docs.join(own, docs.doc_id == own.id).select(docs.doc_id, docs.text)
-    found = text_statistics(rows).join(own.withColumnRenamed("id", "doc_id"), "doc_id")
-    found = materialise(found.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", "n_words", "quality", "features"))
+    stats = stats.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("doc_id", "n_words", "features")
+    found = materialise(stats.join(own.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "n_words", "quality", "features"))
     ends = [f(F.get("features", F.lit(i))).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(len(FEATURES))]
     edges = found.agg(*ends, F.count_if(F.col("quality") > 0).alias("good")).first()
     if not edges.good:
@@ -194,7 +198,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``labels`` has ``doc_id, quality``; of several labels of a document the lowest counts. Without usable labels only the hard
     limits decide. Null and empty texts have no words and fail; repeated rows are judged one by one.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    stats = materialise(text_statistics(docs))
+    model = docs.sparkSession.sparkContext.broadcast(fit_statistics(stats, labels))
 
     def make(batch: pa.RecordBatch) -> dict:
         features = np.array(batch.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
@@ -203,7 +208,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         out = {c: batch.column(c) for c in ("doc_id", *COUNTS, "base_failed")}
         return out | {"kept": usual & ~np.asarray(batch.column("base_failed"))}
 
-    rows = text_statistics(docs).withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    rows = stats.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean"
     return map_rows(rows, make, schema)
 
