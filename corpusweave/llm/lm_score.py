@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusweave.llm.common import Scratch, as_array, release_shuffles, table, words_of
+from corpusweave.session import bound_batches
 
 #: Words whose exact counts every worker holds, and their longest; all other words meet their counts in a join.
 FREQUENT, LONGEST = 1 << 18, 64
@@ -406,10 +407,19 @@ class Stretches:
         self.rows.append(row)
 
 
-def asked_of(hashed: np.ndarray, old: np.ndarray, new: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """(sorted keys, where each came first, which key each place has) of the pairs and of the words' two counts."""
-    pairs = np.unique(pairs_of(hashed[old], hashed[new]), return_index=True, return_inverse=True)
-    return pairs, np.unique(np.concatenate([mixed(hashed ^ TOTAL), mixed(hashed ^ KINDS)]), return_index=True, return_inverse=True)
+def ngrams_of(hashed: np.ndarray, ids: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs, place by place, and of the words' two counts."""
+    old, new = words_in(ids, length)
+    pairs = np.empty(len(old), np.uint64)
+    for k in range(0, len(old), CHUNK):
+        pairs[k : k + CHUNK] = pairs_of(hashed[old[k : k + CHUNK]], hashed[new[k : k + CHUNK]])
+    return pairs, np.concatenate([mixed(hashed ^ TOTAL), mixed(hashed ^ KINDS)])
+
+
+def different(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once; the keys are used up."""
+    keys.sort()
+    return keys[starts(keys)]
 
 
 def by_plane(ids: np.ndarray) -> bytes:
@@ -431,16 +441,20 @@ def questions(blocks: DataFrame, number: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block, *text in zip(*(c.to_pylist() for c in batch.columns)):
-                hashed, ids, length = read_block(*text)
-                (pairs, *_), (words, *_) = asked_of(hashed, *words_in(ids, length))
-                (pair_slot, pair_step), (word_slot, word_step) = apart(pairs, number), apart(words, number)
-                steps = np.concatenate([pair_step, word_step])
-                width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-                slots = np.concatenate([pair_slot, word_slot + number])
-                slot, keys = packed(slots, row_planes(steps, starts(slots), width))
-                columns = [pa.array(np.full(len(slot), block, np.int64)), slot, keys, pa.array(np.full(len(slot), width, np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            for n in range(batch.num_rows):
+                block, *text = (c[n] for c in batch.columns)
+                yield asked(block.as_py(), *read_block(*(t.as_buffer() for t in text)))
+                pa.default_memory_pool().release_unused()
+
+    def asked(block, *text):
+        (pair_slot, pair_step), (word_slot, word_step) = (apart(different(keys), number) for keys in ngrams_of(*text))
+        word_slot += number
+        steps, slots = np.concatenate([pair_step, word_step]), np.concatenate([pair_slot, word_slot])
+        del pair_slot, pair_step
+        width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+        slot, keys = packed(slots, row_planes(steps, starts(slots), width))
+        columns = [pa.array(np.full(len(slot), block, np.int64)), slot, keys, pa.array(np.full(len(slot), width, np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     return blocks.select("block", "hashed", "ids", "length").mapInArrow(run, "block long, slot long, keys binary, width int")
 
@@ -463,7 +477,9 @@ def pair_scores(found: DataFrame, blocks: DataFrame, room: float, ends: int) ->
         hashed, ids, length = read_block(hashed, ids, length)
         rows = np.frombuffer(rows, np.int64)
         old, new = words_in(ids, length)
-        (pairs, first, back), (words, _, word_back) = asked_of(hashed, old, new)
+        asked = ngrams_of(hashed, ids, length)
+        pairs, first, back = np.unique(asked[0], return_index=True, return_inverse=True)
+        words, word_back = np.unique(asked[1], return_inverse=True)
         if len(levels) != len(pairs) + len(words):
             raise RuntimeError(f"{len(levels)} answers to {len(pairs) + len(words)} questions")
         often, kinds = np.split(count_of(levels[len(pairs) :])[word_back], 2)
@@ -497,6 +513,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     learn = rows.where(in_training(F.col("doc_id")))
@@ -522,25 +539,32 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             n = len(next(iter(columns.values())))
             return pa.RecordBatch.from_arrays([as_array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
 
+        # A block goes on over batches, and rows leave with their last block, so a task holds no more than a block's rows.
+        out, held = empty(), Stretches()
         for batch in batches:
-            out = {"row_id": batch.column(0), "doc_id": batch.column(1), "n_tokens": np.zeros(batch.num_rows, np.int64), "n_known": np.zeros(batch.num_rows, np.int64)}
-            out |= {"logs": np.zeros(batch.num_rows), "rare": [[] for _ in range(batch.num_rows)]}
-            row_id, held = batch.column(0).to_numpy(), Stretches()
-            for row, text in enumerate(batch.column(2)):
+            for row_id, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = words_of(text.as_py())
                 words.append(END)
-                out["n_tokens"][row] = len(words)
+                row = len(out["row_id"])
+                for name, value in zip(out, (row_id, doc_id, len(words), 0, 0.0, [])):
+                    out[name].append(value)
                 for k in range(0, len(words), CHUNK):
                     held.add(row, words[k - 1] if k else BEGIN, words[k : k + CHUNK] if len(words) > CHUNK else words)
                     if len(held.ids) > GROUP:
-                        yield filled(judge(held, out, row_id, block))
+                        yield filled(judge(held, out, block))
                         held, block = Stretches(), block + 1
-            if held.rows:
-                yield filled(judge(held, out, row_id, block))
-                block += 1
-            yield filled(out)
-
-    def judge(held: Stretches, out: dict, row_id: np.ndarray, block: int) -> dict:
+                if not held.rows:
+                    yield filled(out)
+                    out = empty()
+                    pa.default_memory_pool().release_unused()
+        if held.rows:
+            yield filled(judge(held, out, block))
+        yield filled(out)
+
+    def empty() -> dict:
+        return {name: [] for name in ("row_id", "doc_id", "n_tokens", "n_known", "logs", "rare")}
+
+    def judge(held: Stretches, out: dict, block: int) -> dict:
         """Add what stretches of words give exactly, every different word looked up once; returns their block."""
         exact, number_of, kinds_of_words = known.value, held.number_of, list(held.number_of)
         ids, length, row = np.array(held.ids, np.uint32), np.array(held.lengths), np.array(held.rows)
@@ -550,19 +574,20 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         count = np.fromiter((exact.get(w, -1) for w in kinds_of_words), np.int64, len(kinds_of_words))
         there = count >= 0
         log = np.where(there, np.log10(np.maximum(count, 0) + 0.1), 0.0)
-        np.add.at(out["logs"], row, np.add.reduceat(log[new], start))
-        np.add.at(out["n_known"], row, np.add.reduceat(there[new].astype(np.int64), start))
+        for own, logs, known_words in zip(held.rows, np.add.reduceat(log[new], start).tolist(), np.add.reduceat(there[new].astype(np.int64), start).tolist()):
+            out["logs"][own] += logs
+            out["n_known"][own] += known_words
         seldom = np.flatnonzero(~there[new])
         owner = np.repeat(row, length)[seldom]
         found, n = np.unique(owner * len(kinds_of_words) + new[seldom].astype(np.int64), return_counts=True)
         for key, times in zip(found.tolist(), n.tolist()):
-            out["rare"][key // len(kinds_of_words)].append({"word": kinds_of_words[key % len(kinds_of_words)], "n": times})
+            out["rare"][key // len(kinds_of_words)].append((kinds_of_words[key % len(kinds_of_words)], times))
 
         hashed = hashes_of(kinds_of_words)
         for edge, value in ((number_of.get(END), END_HASH), (number_of.get(BEGIN), BEGIN_HASH)):
             if edge is not None:
                 hashed[edge] = value
-        return {"block": [block], "hashed": [hashed.tobytes()], "ids": [by_plane(ids)], "length": [length.astype(np.int64).tobytes()], "rows": [row_id[row].tobytes()]}
+        return {"block": [block], "hashed": [hashed.tobytes()], "ids": [by_plane(ids)], "length": [length.astype(np.int64).tobytes()], "rows": [np.array(out["row_id"], np.int64)[row].tobytes()]}
 
     split = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(run, schema)
     split = scratch.write(split, "split")
