@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusweave.session import shared_folder
+from corpusweave.session import bound_batches, shared_folder
 
 #: Words are runs of anything but these (Java regex); ``bytes.split()`` splits at exactly the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +61,7 @@ def map_rows(df: DataFrame, make: Callable[[pa.RecordBatch], dict | None], schem
 
     A batch is bounded in rows and bytes by the session, so a task holds a few texts and never a partition.
     """
+    bound_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
