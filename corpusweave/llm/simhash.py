@@ -72,10 +72,12 @@ def links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     index = _index(nodes)
     groups = index.groupBy("key").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
     groups = groups.where("n > 1 and (key < 8589934592 or (ones > 0 and ones < n))").select("key", "n")
-    members = scratch.write(index.join(groups, "key"), "members")
+    # The planner takes the keys for hardly larger than the fingerprints they were made of, so it is told to merge and not to
+    # broadcast them; the members' files are packed, so the same holds where the members meet each other.
+    members = scratch.write(index.hint("merge").join(groups, "key"), "members")
     few = members.where(F.col("n") <= PAIRWISE).select("key", "bit", "fp")
     other = few.select("key", F.col("bit").alias("bit_b"), F.col("fp").alias("b"))
-    near = few.join(other, "key").where("((bit = 2 and fp < b) or bit < bit_b) and bit_count(fp ^ b) <= 2")
+    near = few.hint("merge").join(other, "key").where("((bit = 2 and fp < b) or bit < bit_b) and bit_count(fp ^ b) <= 2")
     pairs = near.select(F.col("fp").alias("a"), "b")
 
     many = members.where(F.col("n") > PAIRWISE)
