@@ -115,7 +115,8 @@ def _ordered(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     starts = starts.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
     place = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "row_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(place), F.lit(0)))
-    placed = placed.join(starts, placed.source.eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    # every row has its bucket's start; a left join keeps the planner from broadcasting the rows, whose files are small
+    placed = placed.join(starts, placed.source.eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left")
     return placed.select("row_id", "size", "source_no", (F.col("start") + F.col("before")).alias("first_word")), sources
 
 
