@@ -8,25 +8,32 @@ Two layouts share that kernel. A query side whose measured size is below ``BROAD
 broadcast as one matrix and the stored vectors are read once without a shuffle. A larger query side
 is cut into blocks, and every (query block, vector block) pair becomes one cell of a grid; a hot
 partition key spreads over as many cells as it has blocks.
+
+The best of *every* group are ``queries x groups x k`` rows, so there a row must not leave a task for
+each block of vectors. The vectors pass by in the order of their groups while the queries stay, and a
+task ships what is best in a whole group: of all vectors where these are broadcast, else of a chunk of
+them, and only groups that lie in two chunks are shipped twice.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from corpusweave.operators.ordering import top_k
 from corpusweave.session import materialise
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 2048
+CHUNK_BYTES = 32 * 1024 * 1024  # vectors that a task holds beside the blocks it multiplies, where they are not broadcast
 TILE_CELLS = 1 << 20  # scores that exist at a time in a task: 8 MB, and a few temporaries of that size
 DECIMALS = 6
 
@@ -36,6 +43,7 @@ HITS = StructType(
         StructField("vec_id", LongType()), StructField("score", DoubleType()),
     ]
 )
+RANKED = StructType([*HITS.fields, StructField("rank", IntegerType())])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -51,16 +59,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """Larger is nearer; squared distances are negated."""
     if metric == "cosine":
-        values = _unit(queries) @ _unit(vectors).T
-    elif metric == "dot":
-        values = queries @ vectors.T
-    else:
-        values = -(
-            (queries * queries).sum(1)[:, None] + (vectors * vectors).sum(1)[None, :] - 2.0 * (queries @ vectors.T)
-        )
-    return np.round(values, DECIMALS)
+        queries, vectors = _unit(queries), _unit(vectors)
+    return np.round(_values(queries, vectors, metric), DECIMALS)
+
+
+def _values(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
+    """Scores before rounding, for the cosine of unit vectors. Larger is nearer; squared distances are negated."""
+    if metric in ("cosine", "dot"):
+        return queries @ vectors.T
+    return -((queries * queries).sum(1)[:, None] + (vectors * vectors).sum(1)[None, :] - 2.0 * (queries @ vectors.T))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +90,66 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return rows[chosen], cols[chosen]
 
 
+class _Leaders:
+    """The best ``k`` vectors of one group for each of some queries, while blocks of the group pass by."""
+
+    def __init__(self, qids: np.ndarray, qmat: np.ndarray, k: int, metric: str, exclude_self: bool):
+        self.qids, self.qmat, self.k, self.metric, self.exclude_self = qids, qmat, k, metric, exclude_self
+        self.scores, self.ids = np.full((len(qids), k), -np.inf), np.zeros((len(qids), k), np.int64)
+
+    def see(self, vids: np.ndarray, vmat: np.ndarray) -> None:
+        step = max(1, TILE_CELLS // max(1, len(vids)))
+        for start in range(0, len(self.qids), step):
+            tile = slice(start, start + step)
+            values = _values(self.qmat[tile], vmat, self.metric)
+            if self.exclude_self:
+                values[self.qids[tile, None] == vids[None, :]] = -np.inf
+            edge = self.scores[tile, -1]
+            if len(vids) > self.k and np.isneginf(edge).any():
+                edge = np.fmax(edge, np.partition(values, -self.k, axis=1)[:, -self.k])
+            # Only what can reach the k-th place after rounding is rounded and ordered.
+            edge = edge - 10.0**-DECIMALS - 1e-12 * np.abs(edge, where=np.isfinite(edge), out=np.zeros(len(edge)))
+            rows, cols = np.nonzero((values >= edge[:, None]) & (values > -np.inf))
+            if len(rows):
+                self._merge(tile, rows, np.round(values[rows, cols], DECIMALS), vids[cols])
+
+    def _merge(self, tile: slice, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        held = np.nonzero(self.scores[tile] > -np.inf)
+        rows, scores, ids = (np.concatenate(x) for x in ((held[0], rows), (self.scores[tile][held], scores), (self.ids[tile][held], ids)))
+        order = np.lexsort((ids, -scores, rows))
+        rows, scores, ids = rows[order], scores[order], ids[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        best = place < self.k
+        at = (rows[best] + tile.start, place[best])
+        self.scores[at], self.ids[at] = scores[best], ids[best]
+
+    def rows(self, group: int) -> pa.RecordBatch:
+        """Query by query in the order of ranks."""
+        at = np.nonzero(self.scores > -np.inf)
+        columns = self.qids[at[0]], np.full(len(at[0]), group, np.int64), self.ids[at], self.scores[at], (at[1] + 1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=RANKED.names)
+
+
+def _group_leaders(qids, qmat, blocks, k, metric, exclude_self) -> Iterator[pa.RecordBatch]:
+    """Best rows of each group, shipped when the next group begins. ``blocks``: ids, groups and matrices of vectors."""
+    qmat = _unit(qmat) if metric == "cosine" else qmat
+    group = leaders = None
+    for vids, vgroups, vmat in blocks:
+        order = np.lexsort((vids, vgroups))
+        for own in np.split(order, np.flatnonzero(np.diff(vgroups[order])) + 1):
+            if not len(own):
+                continue
+            if leaders is None or vgroups[own[0]] != group:
+                if leaders is not None:
+                    yield leaders.rows(group)
+                group, leaders = vgroups[own[0]], _Leaders(qids, qmat, k, metric, exclude_self)
+            for start in range(0, len(own), BLOCK_ROWS):
+                part = own[start : start + BLOCK_ROWS]
+                leaders.see(vids[part], _unit(vmat[part]) if metric == "cosine" else vmat[part])
+    if leaders is not None:
+        yield leaders.rows(group)
+
+
 def _hits(qids, qgroups, vids, vgroups, scores, k, mode) -> pa.RecordBatch:
     """Best rows of one block product: overall, within the query's own group, or one per group."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -132,8 +200,9 @@ def nearest(
     """
     queries = queries.select(F.col("query_id").cast("long"), F.col("group_id").cast("long"), "embedding")
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("group_id").cast("long"), "embedding")
-    size = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    bytes_needed = size[0] * (size[1] * 8 + 16)
+    if mode == "each":
+        return _each(queries, vectors, k, metric, exclude_self, broadcast_bytes, block_rows)
+    bytes_needed = math.prod(_extent(queries))
 
     def product(*blocks):
         return _products(*blocks, k, metric, mode, exclude_self)
@@ -163,6 +232,77 @@ def nearest(
     return top_k(found, by, [F.desc("score"), F.col("vec_id")], k)
 
 
+def _extent(df: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of a row as numbers of a matrix."""
+    rows, components = df.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    return rows, components * 8 + 16
+
+
+def _arrays(batch: pa.RecordBatch, id_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return batch.column(id_col).to_numpy(), batch.column("group_id").to_numpy(), _matrix(batch.column("embedding"))
+
+
+def _each(queries, vectors, k, metric, exclude_self, broadcast_bytes, block_rows) -> DataFrame:
+    """The best ``k`` of every group. Vectors that can be broadcast are seen whole by each query, so their ranks are final
+    unless a query comes twice; larger ones pass by in chunks of a few groups, and tasks are pairs of chunks."""
+    rows, row_bytes = _extent(vectors)
+    if rows * row_bytes <= broadcast_bytes:
+        found = vectors.toArrow()
+        stored = (
+            found["vec_id"].combine_chunks().to_numpy(), found["group_id"].combine_chunks().to_numpy(),
+            _matrix(found["embedding"].combine_chunks()) if found.num_rows else np.zeros((0, 1)),
+        )
+        shared = queries.sparkSession.sparkContext.broadcast(stored)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    qids, _, qmat = _arrays(batch, "query_id")
+                    yield from _group_leaders(qids, qmat, [shared.value], k, metric, exclude_self)
+
+        ranked = queries.mapInArrow(scan, RANKED)
+        asked, different = queries.agg(F.count("*"), F.count_distinct("query_id")).first()
+        if asked == different:
+            return ranked
+        found = ranked.drop("rank")
+    else:
+        chunks = math.ceil(rows * row_bytes / max(min(broadcast_bytes, CHUNK_BYTES), block_rows * row_bytes))
+        dealt = vectors.repartitionByRange(chunks, "group_id", "vec_id").sortWithinPartitions("group_id", "vec_id")
+        passing = materialise(_packed(dealt)).select(F.col("block").alias("v"))
+        pairs = _packed(queries).crossJoin(passing.hint("shuffle_replicate_nl"))
+
+        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # Spark pairs a block of queries with all blocks of the chunk before it goes on to the next.
+            both = (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows))
+            for _, own in groupby(both, key=lambda pair: pair.column("number")[0].as_py()):
+                first = next(own)
+                qids, _, qmat = _arrays(_unpacked(first, "block"), "query_id")
+                passing = (_arrays(_unpacked(pair, "v"), "vec_id") for pair in chain([first], own))
+                for hits in _group_leaders(qids, qmat, passing, k, metric, exclude_self):
+                    yield hits.select(HITS.names)
+
+        found = pairs.mapInArrow(multiply, HITS)
+    return top_k(found, ["query_id", "group_id"], [F.desc("score"), F.col("vec_id")], k)
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    """A row for each batch of rows, with its number in the partition."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            if batch.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["number", "block"])
+
+    return df.mapInArrow(pack, "number long, block binary")
+
+
+def _unpacked(row: pa.RecordBatch, column: str) -> pa.RecordBatch:
+    return pa.ipc.open_stream(row.column(column)[0].as_buffer()).read_next_batch()
+
+
 def _blocks(df: DataFrame, id_col: str, count: int, block_rows: int, own: bool) -> DataFrame:
     """Pack rows into blocks of about ``block_rows``: ids are spread by hash, so a block stays small
     even when one group holds most rows."""
