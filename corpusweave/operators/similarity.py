@@ -388,9 +388,12 @@ def card_ranking(vectors: DataFrame, cards: DataFrame) -> DataFrame:
 def fuse(card_hits: DataFrame, page_best: DataFrame, weight: float) -> DataFrame:
     """Card score plus ``weight`` times the best page score; a card without pages counts itself twice.
 
-    ``card_hits``: query_id, card, score, rank. ``page_best``: query_id, card, page_score.
+    ``card_hits``: query_id, card, score, rank. ``page_best``: query_id, card, page_score, one row for a query and card.
+    Page scores are gathered inside the tasks that found them and travel as one row a query, so card hits are dealt out by
+    query only, and whatever ranks them next finds them so.
     """
-    joined = card_hits.join(page_best, ["query_id", "card"], "left")
+    pages = page_best.where("card is not null").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("card", "page_score"))).alias("_pages"))
+    joined = card_hits.join(pages, "query_id", "left").withColumn("page_score", F.try_element_at("_pages", F.col("card"))).drop("_pages")
     evidence = F.coalesce("page_score", "score")
     return joined.withColumn("page_evidence", evidence).withColumn(
         "fused", F.round(F.col("score") + F.lit(weight) * evidence, DECIMALS + 1)

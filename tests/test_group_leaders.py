@@ -59,3 +59,20 @@ def test_a_group_leaves_a_task_once(spark):
     ids, groups, matrix = np.arange(600), np.repeat(np.arange(5), 120), rng.standard_normal((600, 4))
     blocks = [(ids[x], groups[x], matrix[x]) for x in np.array_split(np.arange(600), 12)]
     assert sum(b.num_rows for b in V._group_leaders(ids, matrix, blocks, 2, "cosine", False)) == 600 * 5 * 2
+
+
+def test_fused_hits_are_dealt_out_by_query_alone(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    cards = own.range(40).select((F.col("id") % 10).alias("query_id"), F.floor(F.col("id") / 10).alias("card"), (F.col("id") * 0.1).alias("score"), F.lit(1).alias("rank"))
+    cards = cards.unionByName(cards.where("query_id = 3"))  # a query that comes twice
+    pages = own.range(30).select((F.col("id") % 10).alias("query_id"), (F.floor(F.col("id") / 10) + 1).alias("card"), (F.col("id") * 0.2).alias("page_score")).where("query_id <> 7")
+    found = V.top_k(V.fuse(cards, pages, 0.5), ["query_id"], [F.desc("fused"), F.col("card")], 100)
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 2 and not any("card" in line for line in dealt)
+    best = {(r.query_id, r.card): r.page_score for r in pages.collect()}
+    rows = found.collect()
+    assert len(rows) == 44
+    for r in rows:
+        evidence = best.get((r.query_id, r.card), r.score)
+        assert r.page_score == best.get((r.query_id, r.card)) and r.page_evidence == evidence and r.fused == pytest.approx(r.score + evidence / 2)
